@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +59,21 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches short enough that long texts fit a Python worker."""
+_shipped: set[str] = set()
+
+
+def python_ready(spark: SparkSession, rows: int = 512) -> None:
+    """Before Python runs on executors: they get this package, and Arrow batches short enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        out = Path(tempfile.mkdtemp(prefix="loam-code-")) / "loam-code.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(out))
+        _shipped.add(app)
 
 
 #: At most this many keys can each hold more than 1 / HOT_KEYS of the rows; so small a table may be broadcast.
