@@ -125,6 +125,12 @@ def apply_policy(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES
     return led.withColumn(out, F.col("fail_bits").bitwiseAND(F.lit(mask(policy, rules))) == 0)
 
 
+def accepted(docs: DataFrame, policy: Policy = FULL, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps; one projection and a filter."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("text"))
+    return apply_policy(ledger(held, rules, id_col="_doc"), policy, rules).filter("kept").select("_doc.*")
+
+
 def ablations(led: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per policy and rule: documents and words that fail it, that fail it alone, and that the policy keeps with and
     without it. The ledger is first summed by bit pattern, so what is crossed with the policies has at most 2^rules rows.

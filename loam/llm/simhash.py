@@ -66,15 +66,15 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id, key (XXH64 of the text), fp (the fingerprint's bits as a long)."""
 
     def run(batches):
         for b in batches:
             fp = _fingerprints(b.column("text").to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
 
     common.python_ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def grouped_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -221,7 +221,7 @@ def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of ``docs``."""
+    """doc_id, key, fp, component_id: one row per row of ``docs``."""
     marked = common.written(fingerprints(docs, shingle), "fingerprints")
     total = marked.count()
     fps = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
@@ -238,3 +238,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
 def op4_simhash(docs: DataFrame) -> DataFrame:
     got = near_duplicates(docs)
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 6) -> DataFrame:
+    """``docs`` with the row of the smallest id of each component of near-duplicates (of equal rows, one)."""
+    last = F.lit((1 << 63) - 1)
+    found = near_duplicates(docs, shingle, bits).withColumn("id", F.coalesce("doc_id", last))
+    stay = found.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    mine = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.xxhash64("text").alias("_key"))
+    return mine.join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)

@@ -246,3 +246,16 @@ def judged(rows: DataFrame, cand: DataFrame, runs: DataFrame, window: int = WIND
 
 def op9_substrings(docs: DataFrame) -> DataFrame:
     return judged(*find(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words that go removed from their texts (then joined by spaces); texts that keep all their words stay as they
+    are, and documents that keep none go. ``n_chars``, if there, is counted again."""
+    rows = judged(*find(docs), text=True).filter("n_removed > 0").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept"))
+    changed = common.written(rows.dropDuplicates(["_id", "_sha"]), "changed")
+    sha = F.sha2(F.array_join(common.words(F.col("text")), " "), 256)
+    mine = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), sha.alias("_sha")).join(changed, ["_id", "_sha"], "left")
+    mine = mine.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        mine = mine.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return mine.select(*docs.columns)
