@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Chunks kept between batches; beyond, a chunk is encoded once a batch. It bounds memory, not what is encoded.
-KEPT_CHUNKS = 600_000
+#: Chunks, and pieces of chunks, kept between batches; beyond, each is made once a batch. It bounds memory, not what is encoded.
+KEPT_CHUNKS, KEPT_PIECES = 600_000, 1_000_000
 LONGEST_KEPT = 48
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, signs, and maybe a new line with the same again: the pre-tokeniser cuts at each of these borders.
+_LETTERS, _SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
+_PIECES = re.compile(rf"({_LETTERS})({_SIGNS})?(?:(\n)({_LETTERS})({_SIGNS})?)?")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -26,6 +30,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Table:
+    """Strings' ids, end to end, with room to grow and to forget the last ones."""
+
+    def __init__(self):
+        self.at: dict = {}
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(keys) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        k = slice(self.n, self.n + len(keys))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k] = self.used + np.cumsum(lens) - lens
+        self.lens[k] = lens
+        self.at.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+        self.used, self.n = self.used + len(ids), k.stop
+
+    def get(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these entries, one after the other, and where each ends."""
+        lens = self.lens[idx]
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+    def forget(self, n: int, used: int, keys: list) -> None:
+        for k in keys:
+            del self.at[k]
+        self.n, self.used = n, used
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,96 +70,99 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.vocab = self.t.get_vocab_size(with_added_tokens=True)
-        # chunk 0 stands for those that begin or end with white space, or are empty: never a chunk by themselves
-        self.known: dict = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.lens = np.zeros(1 << 18, np.int64)
-        self.n = 1
-
-    def _add(self, new: list) -> None:
-        odd, good = [], []
-        for c in new:
-            s = c[0] if type(c) is tuple else c
-            (odd if not s or s[0].isspace() or s[-1].isspace() else good).append(c)
-        for c in odd:
-            self.known[c] = 0
-        self._encode(good)
-
-    def _encode(self, good: list) -> None:
-        for at in range(0, len(good), 20_000):
-            some = good[at : at + 20_000]
-            got = [e.ids for e in self.t.encode_batch_fast([c[0] if type(c) is tuple else " " + c for c in some], add_special_tokens=False)]
+        # a chunk is what stands between two spaces, the space before it included; a text's first is a tuple, as it has none. Entry 0
+        # stands for those with white space at an end: they are no chunks by themselves
+        self.chunks, self.pieces = Table(), Table()
+        self.chunks.add([None], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _library(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 20_000):
+            some = pieces[lo : lo + 20_000]
+            got = [e.ids for e in self.t.encode_batch_fast(some, add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            total, k = int(lens.sum()), len(got)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            while self.n + k > len(self.starts):
-                self.starts, self.lens = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lens))
-            self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
-            self.starts[self.n : self.n + k] = self.used + np.cumsum(lens) - lens
-            self.lens[self.n : self.n + k] = lens
-            self.known.update(zip(some, range(self.n, self.n + k), strict=True))
-            self.used += total
-            self.n += k
+            self.pieces.add(some, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+
+    def _make(self, keys: list, strings: list[str]) -> None:
+        """Entries of chunks, from their pieces' ids."""
+        cut = []
+        for s in strings:
+            space = s[0] == " "
+            m = _PIECES.fullmatch(s, 1 if space else 0)
+            if m:
+                p = [x for x in m.groups() if x]
+                if space:
+                    p[0] = " " + p[0]
+                cut.append(p)
+            else:
+                cut.append([s])
+        flat = list(chain.from_iterable(cut))
+        at = self.pieces.at
+        if len(at) > KEPT_PIECES:
+            self.pieces = Table()
+            at = self.pieces.at
+        self._library([p for p in dict.fromkeys(flat) if p not in at])
+        ids, ends = self.pieces.get(np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])]
+        self.chunks.add(keys, ids, np.diff(bounds))
+
+    def _look_up(self, keys: list) -> tuple[np.ndarray, list]:
+        """Entries of chunks, and which are new."""
+        at = self.chunks.at
+        idx = np.fromiter(map(at.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(idx < 0)
+        new: list = []
+        if len(missing):
+            absent = [keys[i] for i in missing.tolist()]
+            new = list(set(absent))
+            good, strings = [], []
+            for k in new:
+                bare = k[0] if type(k) is tuple else k
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    at[k] = 0
+                    continue
+                good.append(k)
+                strings.append(bare if type(k) is tuple else " " + bare)
+            self._make(good, strings)
+            idx[missing] = np.fromiter(map(at.__getitem__, absent), np.int64, len(absent))
+        return idx, new
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
-        held, used, n = len(self.known) < KEPT_CHUNKS, self.used, self.n
+        c = self.chunks
+        held, n, used = c.n < KEPT_CHUNKS, c.n, c.used
         cut = []
         for t in texts:
             parts = t.split(" ")
             parts[0] = (parts[0],)
             cut.append(parts)
-        chunks = [c for p in cut for c in p]
-        seen = set(chunks)
-        new = [c for c in seen if c not in self.known]
-        self._add(new)
+        idx, new = self._look_up(list(chain.from_iterable(cut)))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        idx = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        ends = np.cumsum(sizes)
-        again = np.unique(np.searchsorted(ends, np.flatnonzero(idx == 0), side="right")) if len(idx) else []
-        if len(again):  # these texts have white space beside a space
-            pieces = np.split(idx, ends[:-1])
-            for i in again:
+        again = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(idx == 0), side="right"))
+        if len(again):  # these texts have white space beside a space: cut at their safe spaces only
+            rows = np.split(idx, np.cumsum(sizes)[:-1])
+            for i in again.tolist():
                 parts = _SAFE.split(texts[i]) if texts[i] else []
-                if parts:
-                    parts[0] = (parts[0],)
-                here = self._odd(parts)
-                new += here[1]
-                pieces[i] = here[0]
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            idx = np.concatenate(pieces)
-        lens = self.lens[idx]
-        total = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[idx] - (total - lens), lens) + np.arange(int(total[-1]) if len(total) else 0)]
-        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(sizes)])]
-        drop = new if not held else [c for c in new if len(c[0] if type(c) is tuple else c) > LONGEST_KEPT]
-        for c in drop:
-            self.known.pop(c, None)
+                keys = [("", p) if k else ("first", "", p) for k, p in enumerate(parts)]
+                rows[i], more = self._safe(keys)
+                new += more
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            idx = np.concatenate(rows)
+        ids, ends = c.get(idx)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         if not held:
-            self.used, self.n = used, n
+            c.forget(n, used, new)
+        else:
+            for k in new:
+                if len(k[-1] if type(k) is tuple else k) > LONGEST_KEPT:
+                    del c.at[k]
         return ids, np.diff(bounds)
 
-    def _odd(self, parts: list) -> tuple[np.ndarray, list]:
-        """Chunks of a text cut at its safe spaces: any may hold white space at its ends."""
-        keys = [("odd", c) if self.known.get(c, 0) == 0 else c for c in parts]
-        new = list({k for k in keys if type(k) is tuple and len(k) == 2 and k not in self.known})
-        if new:
-            self._encode_odd(new)
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys)), new
-
-    def _encode_odd(self, new: list) -> None:
-        bare = [k[1] for k in new]
-        kept = {c: self.known.get(c) for c in bare}
-        self._encode(bare)
-        for k, c in zip(new, bare, strict=True):
-            self.known[k] = self.known[c]
-            if kept[c] is None:
-                del self.known[c]
-            else:
-                self.known[c] = kept[c]
+    def _safe(self, keys: list) -> tuple[np.ndarray, list]:
+        """Entries of chunks cut at safe spaces, which may have white space at the text's ends."""
+        at = self.chunks.at
+        new = [k for k in dict.fromkeys(keys) if k not in at]
+        self._make(new, [k[-1] if len(k) == 3 else " " + k[-1] for k in new])
+        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys)), new
 
 
 def encoder(path: str) -> Encoder:
