@@ -34,6 +34,8 @@ LEAST, MOST = 8 << 10, 64 << 10
 #: Zero bits at a cut: on average a cut every 8 KiB after the least size.
 CUT_BITS = 13
 RATE = 8000
+#: Bytes of a SHA-256 that name a chunk or payload in joins.
+KEY = 16
 #: Digests that a task remembers for not storing a chunk twice; election drops what it forgets.
 REMEMBERED = 200_000
 #: The gear: 256 pseudo-random numbers from a fixed seed.
@@ -94,10 +96,10 @@ def spool(docs: DataFrame) -> DataFrame:
             held = 0
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = payload(t)
-                want, ends, lo = hashlib.sha256(data).digest(), cuts(data), 0
+                want, ends, lo = hashlib.sha256(data).digest()[:KEY], cuts(data), 0
                 for k, hi in enumerate(ends):
                     part = data[lo:hi]
-                    digest = hashlib.sha256(part).digest() if len(ends) > 1 else want
+                    digest = hashlib.sha256(part).digest()[:KEY] if len(ends) > 1 else want
                     # chunks of long payloads are kept among themselves, so that only those are moved
                     name = (digest, len(ends) > 1)
                     new = name not in seen
@@ -117,18 +119,18 @@ def spool(docs: DataFrame) -> DataFrame:
     return common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SPOOL_SQL), "spool")
 
 
-_READ = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_READ_SQL = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_READ = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])
+_READ_SQL = "n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def _read_back(want: bytes, data: bytes) -> tuple:
     sha = hashlib.sha256(data)
-    if sha.digest() != want:
+    if sha.digest()[:KEY] != want:
         raise ValueError("a stored payload differs from what was stored")
     head = stored_header(len(data))
     media = hashlib.sha256(head)
     media.update(data)
-    return len(data.rstrip(PAD)), len(data), sha.hexdigest(), zlib.crc32(data[-32:]), len(head) + len(data), media.hexdigest(), features(data)
+    return len(data.rstrip(PAD)), len(data), sha.digest(), zlib.crc32(data[-32:]), len(head) + len(data), media.digest(), features(data)
 
 
 def _of_single(batches):
@@ -164,15 +166,16 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     one = one.join(at.filter("NOT many").select("row", "seq"), ["row", "seq"], "left_semi").drop("row", "seq")
     lists = s.filter(many).groupBy("want").agg(F.min("row").alias("row"))
     lists = s.filter(many).select("want", "row", "seq", "digest").join(lists, ["want", "row"], "left_semi").drop("row")
-    # the elected chunks' bytes, then to each list that has them; digests are unique on one side, so skew-join handling can split
+    # where each chunk of a list is stored, then its bytes, once to each list; the stored rows are unique, so skew-join handling can split
     # the lists of a chunk that very many distinct payloads share
-    store = s.filter(many & kept).select("row", "seq", "digest", "data").join(at.filter("many").select("row", "seq"), ["row", "seq"], "left_semi").select("digest", "data")
-    long_ = lists.join(store, "digest").select("want", "seq", "data").groupBy("want").applyInArrow(_of_many, f"want binary, {_READ_SQL}")
+    places = lists.alias("lists").join(at.filter("many").alias("at"), "digest").select("want", F.col("lists.seq").alias("place"), F.col("at.row").alias("row"), F.col("at.seq").alias("seq"))
+    store = s.filter(many & kept).select("row", "seq", "data")
+    long_ = places.join(store, ["row", "seq"]).select("want", F.col("place").alias("seq"), "data").groupBy("want").applyInArrow(_of_many, f"want binary, {_READ_SQL}")
     heads = s.filter("seq = 0").select("doc_id", "want", "n_chunks")
     n = heads.count()
     values = common.written(one.unionByName(long_), "read-back")
-    counts = heads.groupBy("want").agg(F.count("*").alias("n"))
-    return common.join_unique(heads, values.join(counts, "want"), "want", "n", n).drop("want")
+    got = common.join_unique(heads, values, "want", None, n).drop("want")
+    return got.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op5_media(docs: DataFrame) -> DataFrame:
