@@ -12,7 +12,7 @@ from loam.functions import text as T
 def metrics(c: Column) -> Column:
     """Struct of words, chars, alpha_word_fraction, symbol_to_word_ratio, median_word_length, duplicate_line_fraction."""
 
-    def of(w: Column) -> Column:
+    def of(w: Column, c: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1))
         alpha = F.size(F.filter(w, lambda x: x.rlike(r"\p{L}")))
         symbols = F.length(F.regexp_replace(T.filled(c), T.NOT_SYMBOL, ""))
@@ -26,11 +26,15 @@ def metrics(c: Column) -> Column:
             T.let(lines, lambda x: F.when(x["lines"] == 0, F.lit(1.0)).otherwise(x["duplicated"] / x["lines"])).alias("duplicate_line_fraction"),
         )
 
-    return T.let(T.word_tokens(c), of)
+    return T.let(T.filled(c), lambda t: T.let(T.word_tokens(t), lambda w: of(w, t)))
 
 
 def reasons(m: Column, q: Quality) -> Column:
     """All limits that are broken, in a fixed order; being on a limit is fine."""
+    return T.let(m, lambda x: _broken(x, q))
+
+
+def _broken(m: Column, q: Quality) -> Column:
     tests = (
         ("too_short", m["words"] < q.min_words),
         ("too_long", m["words"] > q.max_words),
