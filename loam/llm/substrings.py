@@ -118,9 +118,11 @@ def _segments(window: int, gram: int, shards: int, hot: int):
             for i, sha, text, hits in zip(*(b.column(c).to_pylist() for c in ("id", "sha", "text", "hits")), strict=True):
                 w = (text or "").encode().split()
                 starts, place, g = anchors(hashes.of(w), np.array([len(w)]), window, gram)
-                cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])).tolist()
                 wanted = {x["anchor"]: x["n"] for x in hits}
                 keys = g.view(np.int64)
+                # neighbouring windows of one anchor hash are one segment, however often a repetitive text has that run
+                mine = keys[place]
+                cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])).tolist()
                 for x, y in zip(cut, [*cut[1:], len(starts)], strict=True):
                     key, lo = int(keys[place[x]]), int(starts[x])
                     n = wanted.get(key)
