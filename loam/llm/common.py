@@ -6,6 +6,7 @@ Words are maximal runs of anything but ASCII white space (space, tab, LF, VT, FF
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -76,6 +77,13 @@ def python_ready(spark: SparkSession, rows: int = 512) -> None:
         _shipped.add(app)
 
 
+def lean() -> None:
+    """On an executor, before work that doesn't tokenise: a worker that served a tokenising stage lets go of its caches."""
+    m = sys.modules.get("loam.llm.tokens")
+    if m:
+        m._loaded.clear()
+
+
 #: At most this many keys can each hold more than 1 / HOT_KEYS of the rows; so small a table may be broadcast.
 HOT_KEYS = 500
 

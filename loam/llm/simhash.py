@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, key (XXH64 of the text), fp (the fingerprint's bits as a long)."""
 
     def run(batches):
+        common.lean()
         for b in batches:
             fp = _fingerprints(b.column("text").to_pylist(), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
@@ -206,7 +207,8 @@ def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
     large = common.written(sizes.filter(F.col("n") > BUCKET), "large-buckets")
     cold = index.join(large, ["p", "key"], "left_anti") if large.head(1) else index
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits
-    pairs = cold.alias("a").join(probes.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)
+    # merged, as a broadcast would be chosen by the size before probes are made
+    pairs = cold.alias("a").hint("merge").join(probes.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)
     found = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     if large.head(1):
         blocks = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")

@@ -84,6 +84,7 @@ def sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, n_words, sha (SHA-256 of the words joined by a space), and the distinct anchors."""
 
     def run(batches):
+        common.lean()
         hashes = _Hashes()
         for b in batches:
             words = [(t or "").encode().split() for t in b.column("text").to_pylist()]
@@ -112,6 +113,7 @@ def _segments(window: int, gram: int, shards: int, hot: int):
     def run(batches):
         import xxhash
 
+        common.lean()
         hashes = _Hashes()
         for b in batches:
             cols: list[list] = [[] for _ in _SEG]
