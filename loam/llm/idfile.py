@@ -100,7 +100,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end: int = END, shard_i
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
         for b in batches:
-            ids, bounds = tokens.encode_docs(e, b.column("text").to_pylist(), end)
+            ids, bounds = tokens.encode_docs(e, b.column("text"), end)
             for d, lo, hi in zip(b.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 held.append(ids[lo:hi])
                 sizes.append(hi - lo)

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPA
     def run(batches):
         e = tokens.encoder(tokenizer)
         for b in batches:
-            ids, bounds = tokens.encode_docs(e, b.column("text").to_pylist(), end)
+            ids, bounds = tokens.encode_docs(e, b.column("text"), end)
             raw = memoryview(ids.astype("<u4")).cast("B")
             out: tuple[list, ...] = ([], [], [], [], [])
             doc_ids = b.column("doc_id").to_pylist()

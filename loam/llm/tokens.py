@@ -1,26 +1,35 @@
 """Exact tokenisation of whole texts at a few times the library's own speed.
 
-Byte-level BPE never merges across its pre-tokeniser's cuts, and it always cuts before a single space that stands
-between two characters that aren't white space. So a text's ids are its space-separated chunks' ids, one after the
-other, and each distinct chunk is given to the library once. Where a space has white space beside it, the text is cut
-only at its safe spaces. Special tokens' strings in a text are ordinary text.
+A byte-level BPE never merges across its pre-tokeniser's cuts. So a text is cut, by numpy over its UTF-8 bytes, at places
+where the pre-tokeniser is sure to cut, and each distinct piece is given to the library once; a text's ids are its pieces' ids,
+one after the other. Fewer cuts than the pre-tokeniser's are never wrong, only slower. Sure places are
+
+- before a space or new line that follows anything but white space,
+- after a new line that has anything but white space on both sides,
+- between letters, digits and signs other than the apostrophe, and from letters or digits to an apostrophe.
+
+Letters are ASCII's and those of two bytes led by C3 to C9. Characters that might be white space or combine (other bytes) take
+part in no cut but before white space. Tokenizers of another make encode whole texts. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain, repeat
 
 import numpy as np
-
-#: Chunks, and pieces of chunks, kept between batches; beyond, each is made once a batch. It bounds memory, not what is encoded.
-KEPT_CHUNKS, KEPT_PIECES = 600_000, 1_000_000
-LONGEST_KEPT = 48
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters, signs, and maybe a new line with the same again: the pre-tokeniser cuts at each of these borders.
-_LETTERS, _SIGNS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
-_PIECES = re.compile(rf"({_LETTERS})({_SIGNS})?(?:(\n)({_LETTERS})({_SIGNS})?)?")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: What is kept between segments: pieces, ids and bytes of pieces; beyond, the table starts anew. It bounds memory, not what is encoded.
+KEPT_PIECES, KEPT_IDS, KEPT_BYTES = 1_000_000, 8_000_000, 48_000_000
+#: Bytes of texts that are cut at once, unless one text alone has more.
+SEGMENT = 8 << 20
+_OTHER, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _SOLID, _SPACE, _LINE, _INNER = range(9)
+#: A piece that keeps its ids between new lines: no white space, or one space before it.
+_PLAIN = re.compile(rb" ?[!-~\x80-\xbf\xc3-\xe0\xe4-\xf4]+")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -30,15 +39,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _kinds() -> np.ndarray:
+    """The kind of each byte."""
+    kind = np.full(256, _OTHER, np.uint8)
+    for b in range(0x21, 0x7F):
+        c = chr(b)
+        kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _APOSTROPHE if c == "'" else _SIGN
+    kind[0x20], kind[0x0A] = _SPACE, _LINE
+    kind[0x80:0xC0] = _INNER
+    kind[0xC3:0xCA] = _LETTER
+    # white space beyond ASCII is led by C2, E1, E2 or E3 only
+    kind[0xCA:0xE1] = kind[0xE4:0xF5] = _SOLID
+    return kind
+
+
+def _sure() -> np.ndarray:
+    """Whether there is a cut between two kinds, at first * 9 + second."""
+    cut = np.zeros((9, 9), bool)
+    cut[_LETTER : _SOLID + 1, _SPACE : _LINE + 1] = True
+    for a in (_LETTER, _DIGIT, _SIGN):
+        for b in (_LETTER, _DIGIT, _SIGN):
+            cut[a, b] = a != b
+    cut[[_LETTER, _DIGIT], _APOSTROPHE] = True
+    return cut.ravel()
+
+
+_KIND, _SURE = _kinds(), _sure()
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at a byte, inside one text."""
+    kind = _KIND[data]
+    if (data > 0x7F).any():
+        for _ in range(3):  # a character has up to three bytes after its first
+            inner = np.flatnonzero(kind == _INNER)
+            if not len(inner):
+                break
+            kind[inner] = kind[np.maximum(inner - 1, 0)]
+        signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the signs of multiplication and division
+        kind[signs] = kind[signs + 1] = _OTHER
+    out = np.zeros(len(data), bool)
+    out[1:] = _SURE[kind[:-1] * np.uint8(9) + kind[1:]]
+    line = np.flatnonzero(kind[1:-1] == _LINE) + 1
+    a, b = kind[line - 1], kind[line + 1]
+    out[line[(a >= _LETTER) & (a <= _SOLID) & (b >= _LETTER) & (b <= _SOLID)] + 1] = True
+    return out
+
+
 class Table:
-    """Strings' ids, end to end, with room to grow and to forget the last ones."""
+    """Pieces' ids, end to end, with room to grow."""
 
     def __init__(self):
-        self.at: dict = {}
+        self.at: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.bytes = 0
 
-    def add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+    def add(self, keys: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(keys) > len(self.starts):
@@ -48,6 +105,7 @@ class Table:
         self.starts[k] = self.used + np.cumsum(lens) - lens
         self.lens[k] = lens
         self.at.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+        self.bytes += sum(map(len, keys))
         self.used, self.n = self.used + len(ids), k.stop
 
     def get(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +114,8 @@ class Table:
         ends = np.cumsum(lens)
         return self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
-    def forget(self, n: int, used: int, keys: list) -> None:
-        for k in keys:
-            del self.at[k]
-        self.n, self.used = n, used
+    def full(self) -> bool:
+        return self.n > KEPT_PIECES or self.used > KEPT_IDS or self.bytes > KEPT_BYTES
 
 
 class Encoder:
@@ -70,99 +126,72 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.vocab = self.t.get_vocab_size(with_added_tokens=True)
-        # a chunk is what stands between two spaces, the space before it included; a text's first is a tuple, as it has none. Entry 0
-        # stands for those with white space at an end: they are no chunks by themselves
-        self.chunks, self.pieces = Table(), Table()
-        self.chunks.add([None], np.zeros(0, np.uint32), np.zeros(1, np.int64))
-
-    def _library(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20_000):
-            some = pieces[lo : lo + 20_000]
-            got = [e.ids for e in self.t.encode_batch_fast(some, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.pieces.add(some, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
-
-    def _make(self, keys: list, strings: list[str]) -> None:
-        """Entries of chunks, from their pieces' ids."""
-        cut = []
-        for s in strings:
-            space = s[0] == " "
-            m = _PIECES.fullmatch(s, 1 if space else 0)
-            if m:
-                p = [x for x in m.groups() if x]
-                if space:
-                    p[0] = " " + p[0]
-                cut.append(p)
-            else:
-                cut.append([s])
-        flat = list(chain.from_iterable(cut))
-        at = self.pieces.at
-        if len(at) > KEPT_PIECES:
+        spec = json.loads(self.t.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.by_pieces = (
+            spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex"))
+            and not pre.get("add_prefix_space") and not spec["normalizer"] and all(a["special"] for a in spec["added_tokens"])
+        )
+        line = self._whole(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else None
+        self.pieces = Table()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens
+
+    def _library(self, pieces: list[bytes]) -> None:
+        """Enters new pieces: plain ones many to a text, a new line between them, the others one by one."""
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.line is not None else []
+        for lo in range(0, len(plain), 4000):
+            some = plain[lo : lo + 4000]
+            ids, _ = self._whole([b"\n".join(some).decode()])
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("pieces don't keep their ids between new lines")
+            self.pieces.add(some, ids[ids != self.line], np.diff(ends, prepend=-1) - 1)
+        rest = [p for p in pieces if p not in self.pieces.at]
+        for lo in range(0, len(rest), 4000):
+            some = rest[lo : lo + 4000]
+            self.pieces.add(some, *self._whole([p.decode() for p in some]))
+
+    def _segment(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number per text, of texts that stand end to end in ``data``."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        if self.pieces.full():
             self.pieces = Table()
-            at = self.pieces.at
-        self._library([p for p in dict.fromkeys(flat) if p not in at])
-        ids, ends = self.pieces.get(np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)))
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])]
-        self.chunks.add(keys, ids, np.diff(bounds))
-
-    def _look_up(self, keys: list) -> tuple[np.ndarray, list]:
-        """Entries of chunks, and which are new."""
-        at = self.chunks.at
-        idx = np.fromiter(map(at.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(idx < 0)
-        new: list = []
-        if len(missing):
-            absent = [keys[i] for i in missing.tolist()]
-            new = list(set(absent))
-            good, strings = [], []
-            for k in new:
-                bare = k[0] if type(k) is tuple else k
-                if not bare or bare[0].isspace() or bare[-1].isspace():
-                    at[k] = 0
-                    continue
-                good.append(k)
-                strings.append(bare if type(k) is tuple else " " + bare)
-            self._make(good, strings)
-            idx[missing] = np.fromiter(map(at.__getitem__, absent), np.int64, len(absent))
-        return idx, new
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each text has."""
-        c = self.chunks
-        held, n, used = c.n < KEPT_CHUNKS, c.n, c.used
-        cut = []
-        for t in texts:
-            parts = t.split(" ")
-            parts[0] = (parts[0],)
-            cut.append(parts)
-        idx, new = self._look_up(list(chain.from_iterable(cut)))
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        again = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(idx == 0), side="right"))
-        if len(again):  # these texts have white space beside a space: cut at their safe spaces only
-            rows = np.split(idx, np.cumsum(sizes)[:-1])
-            for i in again.tolist():
-                parts = _SAFE.split(texts[i]) if texts[i] else []
-                keys = [("", p) if k else ("first", "", p) for k, p in enumerate(parts)]
-                rows[i], more = self._safe(keys)
-                new += more
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            idx = np.concatenate(rows)
-        ids, ends = c.get(idx)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        if not held:
-            c.forget(n, used, new)
-        else:
-            for k in new:
-                if len(k[-1] if type(k) is tuple else k) > LONGEST_KEPT:
-                    del c.at[k]
-        return ids, np.diff(bounds)
-
-    def _safe(self, keys: list) -> tuple[np.ndarray, list]:
-        """Entries of chunks cut at safe spaces, which may have white space at the text's ends."""
-        at = self.chunks.at
-        new = [k for k in dict.fromkeys(keys) if k not in at]
-        self._make(new, [k[-1] if len(k) == 3 else " " + k[-1] for k in new])
-        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys)), new
+        start = cuts(data)
+        start[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(start)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        at = self.pieces.at
+        entry = np.fromiter(map(at.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            absent = [keys[i] for i in new.tolist()]
+            self._library(absent)
+            entry[new] = np.fromiter(map(at.__getitem__, absent), np.int64, len(absent))
+        ids, ends = self.pieces.get(entry[coded.indices.to_numpy()])
+        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(starts, bounds)])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has. Null is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        if not self.by_pieces:
+            return self._whole(texts.to_pylist())
+        n = len(texts)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        parts, lo = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SEGMENT, side="right")) - 1)
+            parts.append(self._segment(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]))
+            lo = hi
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def encoder(path: str) -> Encoder:
@@ -172,9 +201,9 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode_docs(e: Encoder, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_docs(e: Encoder, texts: list[str | None] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids with ``end`` after each document, and the documents' bounds in them."""
-    ids, n = e.encode([t or "" for t in texts])
+    ids, n = e.encode(texts)
     bounds = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(int(bounds[-1]), end, np.uint32)
     at = np.ones(len(out), bool)

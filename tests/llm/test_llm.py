@@ -88,7 +88,7 @@ def test_tokens_exact():
 
 
 def ids_of(text):
-    return tokens.Encoder(tokens.default_tokenizer()).encode([text or ""])[0].tolist()
+    return tokens.Encoder(tokens.default_tokenizer()).encode([text])[0].tolist()
 
 
 def test_packing(odd):
