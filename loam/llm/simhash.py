@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     fps = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     n = fps.count()
     if n < 2:
-        return marked.crossJoin(F.broadcast(fps.select(F.col("least").alias("component_id"))))
+        return marked.join(F.broadcast(fps.select("fp", F.col("least").alias("component_id"))), "fp").select("doc_id", "key", "fp", "component_id")  # a row at most
     comp = common.written(components(links(fps.select("fp"), n, bits)), "components")
     fps = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = fps.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
