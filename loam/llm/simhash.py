@@ -223,17 +223,17 @@ def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, key, fp, component_id: one row per row of ``docs``."""
+    """doc_id, key, fp, component_id, label (the component's smallest fingerprint): one row per row of ``docs``."""
     marked = common.written(fingerprints(docs, shingle), "fingerprints")
     total = marked.count()
     fps = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     n = fps.count()
     if n < 2:
-        return marked.join(F.broadcast(fps.select("fp", F.col("least").alias("component_id"))), "fp").select("doc_id", "key", "fp", "component_id")  # a row at most
+        return marked.join(F.broadcast(fps.select("fp", F.col("least").alias("component_id"))), "fp").select("doc_id", "key", "fp", "component_id", F.col("fp").alias("label"))  # a row at most
     comp = common.written(components(links(fps.select("fp"), n, bits)), "components")
     fps = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = fps.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
-    classes = common.join_unique(fps.select("fp", "n", "label"), of, "label", "k", n).select("fp", "n", "component_id")
+    classes = common.join_unique(fps.select("fp", "n", "label"), of, "label", "k", n).select("fp", "n", "component_id", "label")
     return common.join_unique(marked, common.written(classes, "class-components"), "fp", "n", total)
 
 
@@ -246,6 +246,6 @@ def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 6) -> DataFrame:
     """``docs`` with the row of the smallest id of each component of near-duplicates (of equal rows, one)."""
     last = F.lit((1 << 63) - 1)
     found = near_duplicates(docs, shingle, bits).withColumn("id", F.coalesce("doc_id", last))
-    stay = found.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    stay = found.groupBy("label").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
     mine = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.xxhash64("text").alias("_key"))
     return mine.join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)

@@ -144,6 +144,13 @@ def test_simhash(odd):
     assert len(kept) < len(df) and sum(r["text"] == rows()[3][1] for r in kept) <= 1
 
 
+def test_one_of_each_keeps_unrelated_texts(spark):
+    say = lambda k: " ".join(f"u{k}x{i}" for i in range(80))
+    texts = [(None, say(0)), (None, say(1)), (None, say(2)), (7, say(3)), (7, say(4)), (None, say(5)), (9, say(5)), (7, say(3))]
+    kept = simhash.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(0, say(0)), (0, say(1)), (0, say(2)), (7, say(3)), (7, say(4)), (9, say(5))])
+
+
 def test_simhash_large_buckets(spark, monkeypatch):
     r = random.Random(8)
     base = r.getrandbits(64)
