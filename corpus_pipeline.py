@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; fingerprints link at 6 or fewer of 64 bits, which unrelated texts of 50 words or more all but never share."""
-    return simhash.one_of_each(docs, shingle=5, bits=6)
+    """Five-word shingles; texts link at a Jaccard similarity of 0.8 or more, verified exactly."""
+    return simhash.one_of_each(docs, shingle=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,24 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def lower_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of so many words; of fewer words, of all of them; of none, nothing."""
+    import xxhash
+
+    h64 = xxhash.xxh64_intdigest
+    if len(w) <= shingle:
+        return np.array([h64(b" ".join(w), 42)] if w else [], np.uint64)
+    flat = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    lo = np.concatenate([[0], ends[: len(w) - shingle]]).tolist()
+    hi = (ends[shingle - 1 :] - 1).tolist()
+    return np.fromiter((h64(flat[a:b], 42) for a, b in zip(lo, hi, strict=True)), np.uint64, len(lo))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

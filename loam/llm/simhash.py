@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm import common
+from loam.llm import common, jaccard
 from loam.llm.components import components
 
 BITS = 64
@@ -41,23 +41,10 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    import xxhash
-
-    h64 = xxhash.xxh64_intdigest
     out = np.zeros(len(texts), np.uint64)
     for k, t in enumerate(texts):
-        w = (t or "").encode().lower().split()
-        if not w:
-            continue
-        if len(w) <= shingle:
-            out[k] = h64(b" ".join(w), 42)
-            continue
-        flat = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        lo = np.concatenate([[0], ends[: len(w) - shingle]]).tolist()
-        hi = (ends[shingle - 1 :] - 1).tolist()
-        n = len(lo)
-        h = np.fromiter((h64(flat[a:b], 42) for a, b in zip(lo, hi, strict=True)), np.uint64, n)
+        h = common.shingle_hashes(common.lower_words(t), shingle)
+        n = len(h)
         ones = np.zeros(BITS, np.int64)
         for at in range(0, n, 65536):
             ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -223,17 +210,17 @@ def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, key, fp, component_id, label (the component's smallest fingerprint): one row per row of ``docs``."""
+    """doc_id, key, fp, component_id: one row per row of ``docs``."""
     marked = common.written(fingerprints(docs, shingle), "fingerprints")
     total = marked.count()
     fps = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     n = fps.count()
     if n < 2:
-        return marked.join(F.broadcast(fps.select("fp", F.col("least").alias("component_id"))), "fp").select("doc_id", "key", "fp", "component_id", F.col("fp").alias("label"))  # a row at most
+        return marked.join(F.broadcast(fps.select("fp", F.col("least").alias("component_id"))), "fp").select("doc_id", "key", "fp", "component_id")  # a row at most
     comp = common.written(components(links(fps.select("fp"), n, bits)), "components")
     fps = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = fps.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
-    classes = common.join_unique(fps.select("fp", "n", "label"), of, "label", "k", n).select("fp", "n", "component_id", "label")
+    classes = common.join_unique(fps.select("fp", "n", "label"), of, "label", "k", n).select("fp", "n", "component_id")
     return common.join_unique(marked, common.written(classes, "class-components"), "fp", "n", total)
 
 
@@ -242,10 +229,7 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 6) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component of near-duplicates (of equal rows, one)."""
-    last = F.lit((1 << 63) - 1)
-    found = near_duplicates(docs, shingle, bits).withColumn("id", F.coalesce("doc_id", last))
-    stay = found.groupBy("label").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
-    mine = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.xxhash64("text").alias("_key"))
-    return mine.join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with the row of the smallest id of each class of near-duplicates by ``jaccard`` (of equal rows, one)."""
+    stay = jaccard.classes(docs, shingle, least).groupBy("label").agg(F.min(F.struct("_id", "_key")).alias("s")).select("s.*")
+    return jaccard.identified(docs).join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)

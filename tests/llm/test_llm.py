@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loam.llm import components, extraction, idfile, katz, media, mixing, packing, quality, queries, simhash, substrings, tokens, toxicity
+from loam.llm import components, extraction, idfile, jaccard, katz, media, mixing, packing, quality, queries, simhash, substrings, tokens, toxicity
 from loam.llm.fmindex import FMIndex, Wavelet
 
 SF = "/root/testdata/sf0.001"
@@ -151,6 +151,41 @@ def test_one_of_each_keeps_unrelated_texts(spark):
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(0, say(0)), (0, say(1)), (0, say(2)), (7, say(3)), (7, say(4)), (9, say(5))])
 
 
+def jaccard_classes(texts, least=0.8):
+    """Labels by brute force."""
+
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and len(a & b) / len(a | b) >= least:
+                label = [label[j] if k == label[i] else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("nodes", [512, 4])
+def test_near_duplicates_by_jaccard(spark, monkeypatch, nodes):
+    monkeypatch.setattr(jaccard, "NODES", nodes)
+    r, texts = random.Random(6), []
+    for k in range(40):
+        base = [f"v{r.randrange(4000)}" for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(12 if k == 0 else 2):
+            edited = list(base)
+            at, n = r.randrange(len(base) - 30), round(len(base) * r.uniform(0.02, 0.2))
+            edited[at : at + n] = [f"e{r.randrange(4000)}" for _ in range(n)]  # a replaced passage
+            texts.append(" ".join(edited))
+    want: dict = {}
+    for i, k in enumerate(jaccard_classes(texts)):
+        want.setdefault(k, i)
+    assert 40 < len(want) < len(texts)
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(want.values())
+
+
 def test_simhash_large_buckets(spark, monkeypatch):
     r = random.Random(8)
     base = r.getrandbits(64)
