@@ -223,7 +223,7 @@ def _(spark, sf):
     return reports.category_counts(categorised(spark, sf))
 
 
-QUOTAS = classify.target_counts(400)
+QUOTAS = classify.target_counts(6000)
 _MIX = f"""ca AS (SELECT doc_id, doc_id::VARCHAR AS id, source, {_CATEGORY} AS category FROM documents), qu(category, quota) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in QUOTAS.items())}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('42:' || id), id) AS r FROM ca WHERE category IS NOT NULL),
 top AS (SELECT rk.* EXCLUDE (r) FROM rk JOIN qu USING (category) WHERE r <= quota),

@@ -22,6 +22,14 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_mixture_takes_the_whole_quota(spark):
+    sf = "/root/testdata/sf0.01"
+    classified = sum(r["n"] for r in registry.queries()["category_counts"](spark, sf).collect() if r["category"] != "unclassified")
+    assert classified > 400
+    assert registry.queries()["select_mixture"](spark, sf).count() == min(6000, classified)
+    assert sum(r["quota"] for r in registry.queries()["target_counts"](spark, sf).collect()) == 6000
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200
     assert set(registry.queries()) <= set(E.queries())
