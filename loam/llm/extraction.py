@@ -10,7 +10,8 @@ structure and tell-tale words. Nothing is learned from the input, so the model i
 
 Scripts, styles, markup comments and the head hold no blocks. Inline tags don't cut a block; nor does a line break, which is white space.
 
-Edge cases: null, empty and block-less pages have an empty text; unclosed tags, comments and scripts run to where the next block or the page ends;
+Edge cases: null, empty and block-less pages have an empty text; unclosed tags run to the next block, unclosed comments, scripts and styles
+to the page's end; a head without an end tag ends at what can't be in one;
 repeated rows get a row each; an empty table gives no rows. Nothing is capped.
 """
 
@@ -34,12 +35,17 @@ PAGES, EPOCHS = 2500, 8
 # fixed values: HTML's block-level elements, elements without an end, and those whose content isn't text
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = "script|style|noscript|template|iframe|svg|title|head(?!er)"
+#: Raw text runs to its own end tag or the page's end; the others, if they have no end tag, to the next block-level tag.
+RAW_TAGS, FLAT_TAGS, DEEP_TAGS = "script|style", "noscript|iframe|title", "template|svg"
+#: What a head may hold; any other start tag, or text, ends one that isn't closed.
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta".split())
 #: A start tag of these ends an open one of the same kind, or of those named.
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = BLOCK_TAGS - {"button", "caption", "html", "body", "li", "option", "td", "th", "tr", "tbody", "thead", "tfoot"}
+_TO_BLOCK = rf".*?(?=</?(?:{'|'.join(sorted(BLOCK_TAGS))})\b|\Z)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<({FLAT_TAGS})\b[^>]*+>(?:(?:(?!<\2\b).)*?</\2\s*>|{_TO_BLOCK})|<({DEEP_TAGS})\b[^>]*+>(?:.*?</\3\s*>|{_TO_BLOCK})"
+    r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,7 +64,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked, link = 0, 0
+    linked, link, head = 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -70,8 +76,9 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def put(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        nonlocal linked, head
+        head = head and not raw.strip()
+        if raw and not head:
             raw = html.unescape(raw) if "&" in raw else raw
             held.append(raw)
             if link:
@@ -82,10 +89,14 @@ def blocks(page: str | None) -> list[Block]:
     for m in _TOKEN.finditer(page):
         put(page[last : m.start()])
         last = m.end()
-        name = (m[3] or m[6] or "").lower()
+        name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
-        closing, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
+        closing, attrs = (m["end"], m["attrs"]) if m["name"] else (m["end2"], m["attrs2"])
+        if name == "head":
+            head = not closing
+        elif not closing and name not in HEAD_TAGS:
+            head = False
         if name not in BLOCK_TAGS:
             if name == "a":
                 link = 0 if closing else 1

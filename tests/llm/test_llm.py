@@ -406,6 +406,21 @@ def test_extraction(spark):
     assert got[2] == got[3] == got[4] == ("", 0)
 
 
+def test_blocks_of_unclosed_elements():
+    body = "<article><h1>Big news</h1><p>All of it &amp; more.</p></article>"
+    texts = lambda page: [b.text for b in extraction.blocks(page)]
+    want = ["Big news", "All of it & more."]
+    assert texts(f"<html><head><title>x</title></head><body>{body}") == want
+    assert texts(f"<html><head><title>x</title><meta charset=utf-8><script>'<p>no</p>'</script><body>{body}") == want
+    assert texts(f"<html><head><title>x</title>{body}") == want
+    assert texts("<head><title>x</title>Bare text") == ["Bare text"]
+    for tag in ("title", "svg", "iframe", "noscript", "template"):
+        assert texts(f"<body><{tag}>gone{body}") == want, tag
+        assert texts(f"<body><{tag}>gone<p>too</p></{tag}>{body}") == want, tag
+    assert texts(f"<head><title>x<body>{body}<svg><title>y</title></svg>") == want
+    assert texts(f"<body><script>gone{body}") == []
+
+
 def test_pipeline(spark):
     docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
     before = docs
