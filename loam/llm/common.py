@@ -23,6 +23,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` in one struct column ``_doc``, beside ``more``: no name of a caller's column can clash with what an operator adds."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_doc"), *[v.alias(k) for k, v in more.items()])
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row, however often ``body`` names it.
 
@@ -57,6 +67,40 @@ def shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter((h64(flat[a:b], 42) for a, b in zip(lo, hi, strict=True)), np.uint64, len(lo))
 
 
+class Shingles:
+    """64-bit hashes of runs of words, from hashes of words; a bounded memory of the words met."""
+
+    def __init__(self, shingle: int):
+        self.shingle, self.known = shingle, {}
+
+    def words(self, w: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        if len(self.known) > 500_000:
+            self.known = {}
+        for x in set(w).difference(self.known):
+            self.known[x] = xxhash.xxh64_intdigest(x)
+        return np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
+
+    def of(self, w: list[bytes]) -> np.ndarray:
+        """Of each run of so many words; of fewer words, of all of them; of none, nothing."""
+        h = self.words(w)
+        k = min(self.shingle, len(h))
+        if not k:
+            return h
+        out = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+        return mixed(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import common, jaccard
@@ -32,6 +32,7 @@ from loam.llm.components import components
 BITS = 64
 #: Fingerprints that the estimates are made from, at most.
 SAMPLE = 4000
+LAST = (1 << 63) - 1
 BUCKET = 64
 BLOCK = 2048
 
@@ -41,15 +42,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    out = np.zeros(len(texts), np.uint64)
-    for k, t in enumerate(texts):
-        h = common.shingle_hashes(common.lower_words(t), shingle)
-        n = len(h)
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, n, 65536):
-            ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
-    return out
+    return np.array([majority(common.shingle_hashes(common.lower_words(t), shingle)) for t in texts], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """Each bit that over half of the hashes have."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 65536):
+        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -229,7 +230,145 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with the row of the smallest id of each class of near-duplicates by ``jaccard`` (of equal rows, one)."""
-    stay = jaccard.classes(docs, shingle, least).groupBy("label").agg(F.min(F.struct("_id", "_key")).alias("s")).select("s.*")
-    return jaccard.identified(docs).join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """_id, _key (XXH64 of the text), node (the words in lower case, hashed), fp (the fingerprint) and bands (MinHash keys): a row per row."""
+
+    def run(batches):
+        import xxhash
+
+        common.lean()
+        odd, shingles = jaccard.odd_numbers(), common.Shingles(shingle)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            n = len(texts)
+            nodes, fps, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, len(odd)), np.uint32)
+            for k, t in enumerate(texts):
+                w = common.lower_words(t)
+                h = shingles.of(w)
+                nodes[k], fps[k], low[k] = xxhash.xxh64_intdigest(b" ".join(w), 7), majority(h), jaccard.minima(h, odd)
+            bands = jaccard.keys(low).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * jaccard.BANDS), pa.array(bands))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists], names=["_id", "_key", "node", "fp", "bands"])
+
+    common.python_ready(docs.sparkSession)
+    return docs.select(_id().alias("_id"), F.xxhash64("text").alias("_key"), "text").mapInArrow(run, "_id long, _key long, node long, fp long, bands array<long>")
+
+
+def _id() -> Column:
+    """doc_id, where a null one comes last. Rows that agree in it and in the hash of the text have one text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _of_block(shingle: int, least: float, bits: int):
+    """Of a block of a fingerprint class: (u, v) with u the first node of v's class by verified links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        common.lean()
+        node, fp, sets = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64), jaccard.Sets(table.column("text"), shingle)
+        label = np.arange(len(node))
+        for x in range(1, len(node)):
+            far = np.bitwise_count(fp[:x] ^ fp[x])
+            hits = np.flatnonzero(far <= bits)
+            jaccard.connect(x, hits[np.argsort(far[hits], kind="stable")], label, sets, least)
+        moved = node[label] != node
+        return pa.table({"u": node[label[moved]], "v": node[moved]})
+
+    return run
+
+
+def _of_band(shingle: int, least: float):
+    """Of a block of a band's nodes, each of its few: links to nodes of other classes, as (u, v)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        common.lean()
+        node, few, sets = table.column("node").to_numpy(), table.column("few").to_numpy(zero_copy_only=False), jaccard.Sets(table.column("text"), shingle)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, jaccard.BANDS)
+        kind, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        here = bands == table.column("band")[0].as_py()
+        first, rep = here.argmax(axis=1), np.zeros(len(kind), np.int64)
+        rep[label] = np.arange(len(label))
+        before = label.copy()
+        for x in np.flatnonzero(few).tolist():
+            same = bands == bands[x]
+            # a pair that shares several bands is looked at in the first of them only
+            hits = np.flatnonzero(same.argmax(axis=1) == first[x])
+            jaccard.connect(x, hits[np.argsort(-same[hits].sum(axis=1), kind="stable")], label, sets, least)
+        moved = label != before
+        return pa.table({"u": node[rep[label[moved]]], "v": node[moved]})
+
+    return run
+
+
+#: Nodes that one task compares, at most; nodes of a large fingerprint class that all its blocks get, about.
+NODES, PIVOTS = 512, 8
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / NODES).cast("int")
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 6) -> DataFrame:
+    """_id, _key, label: one row per row of ``docs``, equal labels for what pairs of that Jaccard similarity or more connect.
+
+    1. Texts of the same words are one node. Fingerprint classes by ``links`` are cut into blocks, to which a few pivots of the class are
+       added; links inside a block are verified on whole shingle sets. That is linear, and joins what is much alike.
+    2. Fingerprints of so few bits tell a pair at 0.8 seldom, so MinHash bands add candidates. Of a band whose nodes are in different classes
+       by now, all outside its largest class are verified against all its nodes, in bounded blocks. So every pair that shares a band is connected or looked at.
+    """
+    spark = docs.sparkSession
+    marked = common.written(sketches(docs, shingle), "sketches")
+    total = marked.count()
+    reps = marked.groupBy("node").agg(F.min(F.struct("_id", "_key", "fp", "bands")).alias("s")).select("node", "s.*")
+    nodes = common.written(reps, "nodes")
+    n = nodes.count()
+    fps = common.written(nodes.groupBy("fp").agg(F.count("*").alias("n")), "node-fingerprints")
+    near = common.written(components(links(fps.select("fp"), fps.count(), bits)), "fingerprint-classes").withColumnRenamed("node", "fp")
+    of = common.written(fps.join(near, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("group")), "groups-of-fingerprints")
+    sizes = of.groupBy("group").agg(F.sum("n").alias("size"), F.count("*").alias("k")).filter("size > 1")
+    of = common.join_unique(of, sizes, "group", "k", n).filter("size > 1").select("fp", "n", "group", "size")
+    texts = docs.select(_id().alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    placed = common.join_unique(nodes.select("_id", "_key", "node", "fp"), of, "fp", "n", n).filter("group is not null")
+    placed = placed.withColumns({"blocks": _blocks(F.col("size")), "block": F.pmod(F.xxhash64("node"), _blocks(F.col("size"))).cast("int")})
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.ceil(F.col("size") / PIVOTS), F.lit(1))) == 0)
+    every = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    alike = texts.join(placed, ["_id", "_key"]).dropDuplicates(["node"]).select("node", "fp", "text", "group", every.alias("block"))
+    common.python_ready(spark)
+    first = common.written(alike.groupBy("group", "block").applyInArrow(_of_block(shingle, least, bits), "u long, v long"), "verified")
+    label = common.written(components(first), "first-classes")
+
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = common.written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    labelled = nodes.select("node", "_id", "_key", "bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_band = common.join_unique(labelled.select("node", "label", F.explode("bands").alias("band")), shared.withColumn("all", F.col("n")), "band", "n", n * jaccard.BANDS).filter("all is not null")
+    in_band = common.written(in_band.select("node", "label", "band", "all"), "in-bands")
+    shares = in_band.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"))
+    mixed = common.written(shares.filter("kinds > 1").select("band", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.c")).alias("others"), "n"), "mixed-bands")
+    rows = common.join_unique(in_band, mixed, "band", "n", n * jaccard.BANDS).filter("largest is not null")
+    few = F.col("label") != F.col("largest")
+    place = lambda seed, k: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
+    rows = rows.select("node", "label", "band", few.alias("few"), _blocks(F.col("all")).alias("ka"), _blocks(F.col("others")).alias("kb"))
+    rows = rows.withColumns({"a": place(3, F.col("ka")), "b": place(4, F.col("kb"))})
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    one = F.transform(upto("kb"), lambda j: F.struct(F.col("a").alias("i"), j.alias("j"), (F.col("few") & (F.col("b") == j)).alias("few")))
+    two = F.transform(F.filter(upto("ka"), lambda i: F.col("few") & (i != F.col("a"))), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(True).alias("few")))
+    rows = rows.select("node", "label", "band", F.explode(F.concat(one, two)).alias("to"))
+    held = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "_id", "_key", "bands")
+    held = texts.join(held, ["_id", "_key"]).dropDuplicates(["node"]).select("node", "bands", "text")
+    pairs = rows.join(held, "node").select("node", "label", "bands", "text", "band", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.few").alias("few"))
+    common.python_ready(spark)
+    more = common.written(pairs.groupBy("band", "i", "j").applyInArrow(_of_band(shingle, least), "u long, v long"), "verified-in-bands")
+    if more.head(1):
+        # between classes, so that few links are left
+        names = labelled.select("node", "label")
+        between = more.join(names.withColumnsRenamed({"node": "u", "label": "a"}), "u").join(names.withColumnsRenamed({"node": "v", "label": "b"}), "v")
+        merged = common.written(components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))), "merged-classes").select(F.col("node").alias("label"), F.col("label").alias("into"))
+        labelled = common.join_unique(labelled.select("node", "label"), merged, "label", None, n).select("node", F.coalesce("into", "label").alias("label"))
+    final = common.written(labelled.select("node", "label"), "similar-classes")
+    return common.join_unique(marked.select("_id", "_key", "node"), final, "node", None, total).select("_id", "_key", "label")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 6) -> DataFrame:
+    """``docs`` with the row of the smallest id of each class of near-duplicates (of equal rows, one)."""
+    stay = similar_classes(docs, shingle, least, bits).groupBy("label").agg(F.min(F.struct("_id", "_key")).alias("s")).select("s.*")
+    mine = common.boxed(docs, _id=_id(), _key=F.xxhash64("text"))
+    return mine.join(common.written(stay, "stay"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("_doc.*")

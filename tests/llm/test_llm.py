@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loam.llm import components, extraction, idfile, jaccard, katz, media, mixing, packing, quality, queries, simhash, substrings, tokens, toxicity
+from loam.llm import components, extraction, idfile, katz, media, mixing, packing, quality, queries, simhash, substrings, tokens, toxicity
 from loam.llm.fmindex import FMIndex, Wavelet
 
 SF = "/root/testdata/sf0.001"
@@ -168,7 +168,7 @@ def jaccard_classes(texts, least=0.8):
 
 @pytest.mark.parametrize("nodes", [512, 4])
 def test_near_duplicates_by_jaccard(spark, monkeypatch, nodes):
-    monkeypatch.setattr(jaccard, "NODES", nodes)
+    monkeypatch.setattr(simhash, "NODES", nodes)
     r, texts = random.Random(6), []
     for k in range(40):
         base = [f"v{r.randrange(4000)}" for _ in range(r.randint(60, 300))]
