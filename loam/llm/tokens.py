@@ -9,7 +9,8 @@ one after the other. Fewer cuts than the pre-tokeniser's are never wrong, only s
 - between letters, digits and signs other than the apostrophe, and from letters or digits to an apostrophe.
 
 Letters are ASCII's and those of two bytes led by C3 to C9. Characters that might be white space or combine (other bytes) take
-part in no cut but before white space. Tokenizers of another make encode whole texts. Special tokens' strings in a text are ordinary text.
+part in no cut but before white space. Tokenizers of another make encode whole texts, and so does any text that holds the string of an
+added token: the library cuts that out before the pre-tokeniser, as ``add_special_tokens=False`` only concerns what a template adds.
 """
 
 from __future__ import annotations
@@ -124,7 +125,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.vocab = self.t.get_vocab_size(with_added_tokens=True)
         spec = json.loads(self.t.to_str())
         pre = spec["pre_tokenizer"] or {}
@@ -132,6 +132,7 @@ class Encoder:
             spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex"))
             and not pre.get("add_prefix_space") and not spec["normalizer"] and all(a["special"] for a in spec["added_tokens"])
         )
+        self.added = [a["content"].encode() for a in spec["added_tokens"]]
         line = self._whole(["\n"])[0]
         self.line = int(line[0]) if len(line) == 1 else None
         self.pieces = Table()
@@ -178,6 +179,23 @@ class Encoder:
         ids, ends = self.pieces.get(entry[coded.indices.to_numpy()])
         return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(starts, bounds)])
 
+    def _texts(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and their numbers; texts with strings of added tokens go to the library whole."""
+        raw, odd = data[bounds[0] : bounds[-1]].tobytes(), set()
+        for a in self.added:
+            at = raw.find(a)
+            while at >= 0:
+                k = int(np.searchsorted(bounds, bounds[0] + at, side="right")) - 1
+                odd.add(k)
+                at = raw.find(a, int(bounds[k + 1] - bounds[0]))
+        out, lo = [], 0
+        for k in [*sorted(odd), len(bounds) - 1]:
+            out.append(self._segment(data[bounds[lo] : bounds[k]], bounds[lo : k + 1] - bounds[lo]))
+            if k in odd:
+                out.append(self._whole([raw[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]].decode()]))
+            lo = k + 1
+        return out
+
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has. Null is empty."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
@@ -189,7 +207,7 @@ class Encoder:
         parts, lo = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))], 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SEGMENT, side="right")) - 1)
-            parts.append(self._segment(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]))
+            parts += self._texts(data, bounds[lo : hi + 1])
             lo = hi
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 

@@ -26,7 +26,7 @@ def rows():
     say = lambda n: " ".join(r.choice(["the", "of", "Reh", "aé", "ob,", "x."]) + str(r.randrange(60)) for _ in range(n))
     out = [(i, f"{say(r.randint(0, 30))} {SAID if i % 3 == 0 else ''}\n{say(60)}", "s" + str(i % 3)) for i in range(24)]
     out += [(30, out[3][1], "s0"), (31, out[3][1], None), (31, out[3][1], None), (40, None, "s1"), (41, "", "s1"), (42, " \t\n", None), (None, "null id", "s2"), (None, None, None)]
-    out += [(50, "long " * 4000 + "a  b   c", "s0"), (51, "y" * 90_000, "s1"), (1, "same id " + say(55), "s2")]
+    out += [(50, "long " * 4000 + "a  b   c", "s0"), (51, "y" * 90_000, "s1"), (1, "same id " + say(55), "s2"), (52, "an <|endoftext|> inside\n<|endoftext|>", "s2")]
     return [(i, t, None, s, None, "1", "2", "3", "4", "5") for i, t, s in out]
 
 
@@ -74,21 +74,27 @@ def test_ablations(odd):
                 assert r["kept"] == sum(not b & m for b in bits) and r["kept_without"] == sum(not b & m & ~rule.value for b in bits)
 
 
-def test_tokens_exact():
+def library():
+    """The library, as it comes."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
+def test_tokens_exact():
+    t = library()
     e, r = tokens.Encoder(tokens.default_tokenizer()), random.Random(1)
     parts = [*"abZ 12.'\n\t ", *"    ", "é", "'s", "%%", "<|endoftext|>", "\x1c", "\u0085", "漢", "²", "ñ", ".\n", "_"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(800)]
     ids, n = e.encode(texts)
+    texts += ["<|endoftext|>", "", "a <|endoftext|> b", "<|endoftext", "|>"]
+    ids, n = e.encode(texts)
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 def ids_of(text):
-    return tokens.Encoder(tokens.default_tokenizer()).encode([text])[0].tolist()
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing(odd):
