@@ -151,20 +151,21 @@ def lean() -> None:
 HOT_KEYS = 500
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, count: str | None, total: int) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], count: str | None, total: int) -> DataFrame:
     """Left join to ``right``, which has one row per ``key`` and in ``count`` the left rows of it (None: they are counted here).
 
     Fewer than HOT_KEYS keys can hold more than ``total / HOT_KEYS`` rows, so those go by broadcast, whatever
     the size of the input, and their rows stay where they are; all other keys are shuffled.
     """
+    on = [key] if isinstance(key, str) else key
     bound = max(total // HOT_KEYS, 100)
     if count:
         hot, rest = right.filter(F.col(count) > bound).drop(count), right.filter(F.col(count) <= bound).drop(count)
     else:
-        often = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound).select(key)
-        hot, rest = right.join(F.broadcast(often), key, "left_semi"), right
-    cols = [c for c in right.columns if c not in (key, count)]
-    tagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot", *cols).join(rest, key, "left")
+        often = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound).select(*on)
+        hot, rest = right.join(F.broadcast(often), on, "left_semi"), right
+    cols = [c for c in right.columns if c not in (*on, count)]
+    tagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot", *cols).join(rest, on, "left")
     names = [*left.columns, *cols]
     return tagged.filter(F.col("_hot").isNotNull()).select(*names).unionByName(cold.select(*names))
