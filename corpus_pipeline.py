@@ -5,6 +5,7 @@ Each stage works on all rows of the one before, written as Parquet and read agai
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import mixing, packing, quality, simhash, substrings
@@ -16,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; texts link at a Jaccard similarity of 0.8 or more, verified exactly."""
+    """Five-word shingles; texts link at a Jaccard similarity of 0.8 or more, verified on whole sets."""
     return simhash.one_of_each(docs, shingle=5, least=0.8)
 
 
@@ -25,11 +26,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(docs).select(*docs.columns)
+    """In training order: the files that hold the rows are in it, and so are the rows of each."""
+    return mixing.ordered(docs).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Packs each file of the stage before by itself, so that sequences follow the curriculum from file to file."""
+    try:
+        order = docs.metadataColumn("_metadata")["file_path"]
+        docs.select(order)
+    except AnalysisException:  # rows that aren't read from files have no order
+        order = None
+    return packing.pack(docs, order=order)
 
 
 STAGES = [
