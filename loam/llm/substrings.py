@@ -7,20 +7,23 @@ A word goes if a window of WINDOW consecutive words of its document covers it wh
    occurs in two classes or more can be covered; an anchor's windows of a document lie together and make a segment.
 3. Segments are dealt to shards by anchor. Each shard builds an FM-index of its distinct segments and streams them through it by backward
    search; where WINDOW words match, the interval's smallest document decides. Matches become intervals of words.
-4. An anchor of more than HOT_ANCHOR classes makes no shard of its own: its windows are grouped by the hash of all their words
-   (128 bits) instead, by a pre-aggregated minimum. So no task gets a group that grows with the corpus, and nothing is capped.
+4. A passage that very many documents hold gives anchors of very many segments. Those of more than HOT_ANCHOR segments are cut finer, into
+   their single windows: equal ones are first put together by a 128-bit hash, in partial sums, and each that is left in two documents or more
+   goes to a shard by its hash, where the same index finds its smallest document. So no shard gets a group that grows with the corpus.
 
 Edge cases: null and empty texts have no words; documents shorter than a window lose nothing; rows that repeat an id are judged by
-that id, so they don't remove each other; a null id counts as larger than all others; an empty table gives no rows.
+that id, so they don't remove each other; a null id counts as larger than all others; an empty table gives no rows; a text of any length is
+searched whole. Other columns of the input may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm import common
@@ -28,33 +31,11 @@ from loam.llm.fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 10
-HOT_ANCHOR = 20_000
+HOT_ANCHOR = 400
 #: Segments in a shard, about.
 SHARD_SEGMENTS = 8_000
 LAST = (1 << 63) - 1
-_M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(33))) * _M2
-    return x ^ (x >> np.uint64(33))
-
-
-class _Hashes:
-    """64-bit hashes of words; a bounded memory of those met."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > 500_000:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(h: np.ndarray, lens: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +46,7 @@ def anchors(h: np.ndarray, lens: np.ndarray, window: int, gram: int) -> tuple[np
     g = np.zeros(n - gram + 1, np.uint64)
     for k in range(gram):
         g = g * _P + h[k : n - gram + 1 + k]
-    g = _mix(g)
+    g = common.mixed(g)
     ends = np.cumsum(lens)
     starts = np.arange(n - window + 1)
     starts = starts[starts + window <= np.repeat(ends, lens)[: len(starts)]]
@@ -77,80 +58,103 @@ def anchors(h: np.ndarray, lens: np.ndarray, window: int, gram: int) -> tuple[np
     return starts, place, g
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+
+
+def _runs_of(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys, or a document, starts."""
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | cuts])) if len(keys) else np.zeros(0, np.int64)
 
 
 def sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, n_words, sha (SHA-256 of the words joined by a space), and the distinct anchors."""
+    """id (null last), key (XXH64 of the text), n_words, sha (SHA-256 of the words joined by a space), and the anchor of each segment."""
 
     def run(batches):
         common.lean()
-        hashes = _Hashes()
+        hashes = common.Shingles(1)
         for b in batches:
             words = [(t or "").encode().split() for t in b.column("text").to_pylist()]
             lens = np.fromiter(map(len, words), np.int64, len(words))
-            starts, place, g = anchors(hashes.of([w for x in words for w in x]), lens, window, gram)
-            first = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
-            doc = np.searchsorted(np.cumsum(lens), place[first], side="right")
-            key = g[place[first]].view(np.int64)
-            cut = np.searchsorted(doc, np.arange(len(words) + 1))
-            found = [np.unique(key[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(lens), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.array(found, pa.list_(pa.int64()))], schema=_SKETCH
-            )
+            starts, place, g = anchors(hashes.words([w for x in words for w in x]), lens, window, gram)
+            mine = g.view(np.int64)[place]
+            doc = np.searchsorted(np.cumsum(lens), starts, side="right")
+            first = _runs_of(mine, doc[1:] != doc[:-1])
+            offsets = np.searchsorted(doc[first], np.arange(len(words) + 1)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mine[first]))
+            sha = pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(lens), sha, found], schema=_SKETCH)
 
     common.python_ready(docs.sparkSession, 256)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, sha string, anchors array<long>")
+    return _keyed(docs).mapInArrow(run, "id long, key long, n_words long, sha binary, anchors array<long>")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
-_SEG = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("sha", pa.string()), ("at", pa.int64()), ("starts", pa.int32()), ("words", pa.binary()), ("window", pa.binary())])
-_SEG_SQL = "shard long, id long, sha string, at long, starts int, words binary, window binary"
+def _keyed(docs: DataFrame) -> DataFrame:
+    """id and key, which tell texts apart, and the text."""
+    return docs.select(_id().alias("id"), F.xxhash64("text").alias("key"), "text")
+
+
+_SEG = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("starts", pa.int32()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+_SEG_SQL = "shard long, id long, key long, at long, starts int, words binary, w1 long, w2 long"
+#: Windows that a task remembers to have given the words of.
+REMEMBERED = 500_000
 
 
 def _segments(window: int, gram: int, shards: int, hot: int):
-    """Of candidates (id, sha, text, hits: anchors that occur again, with counts): segments, and single windows of hot anchors."""
+    """Of candidates (id, key, text, hits: anchors of two classes or more, with their number of segments): segments, and single windows of hot
+    anchors (shard -1), with the words where this task meets a window first."""
 
     def run(batches):
         import xxhash
 
         common.lean()
-        hashes = _Hashes()
+        hashes, met = common.Shingles(1), set()
         for b in batches:
             cols: list[list] = [[] for _ in _SEG]
-            for i, sha, text, hits in zip(*(b.column(c).to_pylist() for c in ("id", "sha", "text", "hits")), strict=True):
+            for i, key, text, hits in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text", "hits")), strict=True):
                 w = (text or "").encode().split()
-                starts, place, g = anchors(hashes.of(w), np.array([len(w)]), window, gram)
+                starts, place, g = anchors(hashes.words(w), np.array([len(w)]), window, gram)
                 wanted = {x["anchor"]: x["n"] for x in hits}
-                keys = g.view(np.int64)
                 # neighbouring windows of one anchor hash are one segment, however often a repetitive text has that run
-                mine = keys[place]
-                cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])).tolist()
+                mine = g.view(np.int64)[place]
+                cut = _runs_of(mine, np.zeros(max(0, len(mine) - 1), bool)).tolist()
                 for x, y in zip(cut, [*cut[1:], len(starts)], strict=True):
-                    key, lo = int(keys[place[x]]), int(starts[x])
-                    n = wanted.get(key)
+                    anchor, lo = int(mine[x]), int(starts[x])
+                    n = wanted.get(anchor)
                     if n is None:
                         continue
                     if n <= hot:
-                        row = (key % shards, i, sha, lo, y - x, b" ".join(w[lo : lo + y - x + window - 1]), None)
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
+                        rows = [(anchor % shards, i, key, lo, y - x, b" ".join(w[lo : lo + y - x + window - 1]), None, None)]
                     else:
+                        rows = []
                         for s in range(lo, lo + y - x):
-                            digest = xxhash.xxh3_128_digest(b" ".join(w[s : s + window]))
-                            for c, v in zip(cols, (-1, i, sha, s, 1, None, digest), strict=True):
-                                c.append(v)
+                            said = b" ".join(w[s : s + window])
+                            digest = xxhash.xxh3_128_digest(said)
+                            new = digest not in met
+                            if new and len(met) < REMEMBERED:
+                                met.add(digest)
+                            rows.append((-1, i, key, s, 1, said if new else None, *struct.unpack("<qq", digest)))
+                    for row in rows:
+                        for c, v in zip(cols, row, strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEG, strict=True)], schema=_SEG)
 
     return run
 
 
-_RUNS = pa.schema([("sha", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())])
+_RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+_RUNS_SQL = "id long, key long, lo long, hi long, w1 long, w2 long"
 
 
 def _search(window: int):
     def run(table: pa.Table) -> pa.Table:
-        """A shard's segments to runs of words that go: lo to hi of the class ``sha``."""
-        ids, shas, ats, counts, texts = (table.column(c).to_pylist() for c in ("id", "sha", "at", "starts", "words"))
+        """A shard's segments to runs of words that go: lo to hi of the text (id, key). A window of a hot anchor gives its smallest document as id."""
+        common.lean()
+        ids, ats, counts, texts = (table.column(c).to_pylist() for c in ("id", "at", "starts", "words"))
+        others = [table.column(c).to_pylist() for c in ("key", "w1", "w2")]
         kinds: dict[bytes, int] = {}
         which = np.fromiter((kinds.setdefault(t, len(kinds)) for t in texts), np.int64, len(texts))
         least = np.full(len(kinds), LAST, np.int64)
@@ -159,18 +163,21 @@ def _search(window: int):
         segs = [np.fromiter((vocab.setdefault(w, len(vocab) + 1) for w in t.split(b" ")), np.int64) for t in kinds]
         index = FMIndex(segs, least, len(vocab) + 1, window)
         found = index.matches(segs)
-        sha, lo, hi = [], [], []
+        cols: list[list] = [[] for _ in _RUNS]
         runs: dict[int, list] = {}
         for k, (at, smallest) in enumerate(found):
             s = np.unique(at[smallest < least[k]])
             edge = np.flatnonzero(np.diff(s) > 1)
             runs[k] = list(zip(s[np.append(0, edge + 1)].tolist(), s[np.append(edge, len(s) - 1)].tolist(), strict=True)) if len(s) else []
-        for i, h, at, n, k in zip(ids, shas, ats, counts, which.tolist(), strict=True):
-            for x, y in [(0, n - 1)] if i > least[k] else runs[k]:
-                sha.append(h)
-                lo.append(at + x)
-                hi.append(at + y + window)
-        return pa.table([pa.array(c, f.type) for c, f in zip((sha, lo, hi), _RUNS, strict=True)], schema=_RUNS)
+        for i, at, n, k, key, w1, w2 in zip(ids, ats, counts, which.tolist(), *others, strict=True):
+            if w1 is not None:
+                rows = [(int(found[k][1].min()), None, None, None, w1, w2)]
+            else:
+                rows = [(i, key, at + x, at + y + window, None, None) for x, y in ([(0, n - 1)] if i > least[k] else runs[k])]
+            for row in rows:
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RUNS, strict=True)], schema=_RUNS)
 
     return run
 
@@ -184,82 +191,92 @@ def kept_words(text: str | None, runs: list) -> list[bytes]:
     return [x for x, k in zip(w, np.cumsum(gone)[:-1].tolist(), strict=True) if not k]
 
 
-def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, candidates, runs): every row's doc_id, n_words, sha, least id of its class and class size n; candidates' id, sha,
-    text; by sha the list of runs of words that go from the class's first document."""
+def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """(rows, runs): every row's id, key, n_words, sha, its class's number of rows, and id and key of the class's first text (least, first); by id
+    and key of such a text, the list of runs of words that go from it."""
     spark = docs.sparkSession
-    rows = common.written(sketch(docs, window, gram), "sketch").withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    classes = common.written(rows.groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("n")), "text-classes")
+    rows = common.written(sketch(docs, window, gram), "sketch")
+    classes = rows.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("s"), F.count("*").alias("copies"))
+    classes = common.written(classes.select("sha", F.col("s.id").alias("least"), F.col("s.key").alias("first"), "copies", F.col("copies").alias("n")), "text-classes")
     total = rows.count()
-    rows = common.join_unique(rows, classes.withColumn("copies", F.col("n")), "sha", "n", total)
-    mine = rows.filter("id = least").select("sha", "id", F.explode("anchors").alias("anchor")).distinct()
-    again = common.written(mine.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    hits = mine.join(again, "anchor").groupBy("sha", "id").agg(F.collect_list(F.struct("anchor", "n")).alias("hits"))
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    # rows that share an id may differ in their text
-    same = F.sha2(F.array_join(common.words(F.col("text")), " "), 256) == F.col("sha")
-    cand = common.written(text.join(hits, "id").filter(same), "candidates")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(again.agg(F.sum(F.least("n", F.lit(hot)))).first()[0] or 0) // shard_segments)
+    every = common.written(common.join_unique(rows.drop("anchors"), classes, "sha", "n", total), "texts")
+    mine = common.written(rows.filter(F.size("anchors") > 0).join(classes.select("sha", F.col("least").alias("id"), F.col("first").alias("key")), ["sha", "id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "key", "anchors"), "firsts")
+    mine = mine.select("id", "key", F.explode("anchors").alias("anchor"))
+    seen = mine.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("key").alias("c"), F.max("key").alias("d"))
+    again = common.written(seen.filter("a <> b OR c <> d").select("anchor", "n", F.col("n").alias("size")), "anchors")
+    segments = again.agg(F.sum(F.when(F.col("n") <= hot, F.col("n")).otherwise(0)), F.sum("n")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(segments[0] or 0) // shard_segments)
+    hits = common.join_unique(mine, again, "anchor", "size", int(segments[1] or 0)).filter("n is not null").groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
+    cand = _keyed(docs).join(hits, ["id", "key"])
     common.python_ready(spark, 128)
     segs = common.written(cand.mapInArrow(_segments(window, gram, shards, hot), _SEG_SQL), "segments")
-    runs = segs.filter("shard >= 0").groupBy("shard").applyInArrow(_search(window), "sha string, lo long, hi long")
-    alone = segs.filter("shard < 0").select("window", "id", "sha", "at")
-    first = alone.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    n = segs.filter("shard < 0").count()
-    if n:
-        late = common.join_unique(alone, first, "window", "n", n).filter("id > least")
-        runs = runs.unionByName(late.select("sha", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
-    runs = runs.distinct().groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return rows, cand.select("id", "sha", "text"), common.written(runs, "runs")
-
-
-_CUT = pa.schema([("sha", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
-
-
-def cut(cand: DataFrame, runs: DataFrame) -> DataFrame:
-    """Of each class with runs: sha, n_removed, kept_sha256 and the words that stay."""
+    dealt = segs.filter("shard >= 0")
+    alone = segs.filter("shard < 0").select("w1", "w2", "id", "key", "at")
+    kinds = alone.groupBy("w1", "w2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
+    kinds = common.written(kinds.filter("id <> last").drop("last"), "windows")
+    if kinds.head(1):
+        said = segs.filter("shard < 0 AND words is not null").select("w1", "w2", "words")
+        said = said.join(kinds.select("w1", "w2", "id"), ["w1", "w2"]).dropDuplicates(["w1", "w2"])
+        one = said.select(F.pmod("w1", F.lit(shards)).alias("shard"), "id", F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("at"), F.lit(1).alias("starts"), "words", "w1", "w2")
+        dealt = dealt.unionByName(one)
+    found = common.written(dealt.groupBy("shard").applyInArrow(_search(window), _RUNS_SQL), "found")
+    runs = found.filter("w1 is null").select("id", "key", "lo", "hi")
+    if kinds.head(1):
+        first = found.filter("w1 is not null").select("w1", "w2", F.col("id").alias("least")).join(kinds.select("w1", "w2", "n"), ["w1", "w2"])
+        late = common.join_unique(alone, first, ["w1", "w2"], "n", total).filter("id > least")
+        runs = runs.unionByName(late.select("id", "key", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+    runs = runs.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return every, common.written(runs, "runs")
+
+
+_CUT = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha", pa.binary()), ("kept", pa.string())])
+
+
+def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of each text with runs: id, key, n_removed, kept_sha and the words that stay."""
 
     def run(batches):
         for b in batches:
             out = []
-            for sha, text, r in zip(*(b.column(c).to_pylist() for c in ("sha", "text", "runs")), strict=True):
-                n = len((text or "").encode().split())
-                joined = b" ".join(kept_words(text, r))
-                out.append((sha, n - len(joined.split()), hashlib.sha256(joined).hexdigest(), joined.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _CUT, strict=True)], schema=_CUT)
+            for i, key, text, r in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text", "runs")), strict=True):
+                kept = kept_words(text, r)
+                joined = b" ".join(kept)
+                out.append((i, key, len((text or "").encode().split()) - len(kept), hashlib.sha256(joined).digest(), joined.decode()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, _CUT, strict=True)], schema=_CUT)
 
-    common.python_ready(cand.sparkSession, 128)
-    return cand.join(runs, "sha").dropDuplicates(["sha"]).mapInArrow(run, "sha string, n_removed long, kept_sha256 string, kept string")
+    common.python_ready(docs.sparkSession, 128)
+    return _keyed(docs).join(runs, ["id", "key"]).dropDuplicates(["id", "key"]).mapInArrow(run, "id long, key long, n_removed long, kept_sha binary, kept string")
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def judged(rows: DataFrame, cand: DataFrame, runs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
-    """``rows`` with n_removed, kept_sha256 and, if asked for, the kept words where any went."""
-    done = common.written(cut(cand, runs), "cut")
-    total = rows.count()
-    cols = ["sha", "n_removed", "kept_sha256", *(["kept"] if text else [])]
-    sizes = rows.select("sha", "copies").distinct()
-    j = common.join_unique(rows, done.select(*cols).join(sizes, "sha"), "sha", "copies", total)
+def judged(docs: DataFrame, every: DataFrame, runs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
+    """``every`` with n_removed, kept_sha256 and, if asked for, the kept words where any went."""
+    done = common.written(cut(docs, runs), "cut")
+    cols = ["n_removed", "kept_sha", *(["kept"] if text else [])]
+    sizes = every.select("least", "first", "copies").distinct()
+    done = done.select(F.col("id").alias("least"), F.col("key").alias("first"), *cols).join(sizes, ["least", "first"])
+    j = common.join_unique(every, done.withColumnRenamed("copies", "n"), ["least", "first"], "n", every.count())
     late = (F.col("id") > F.col("least")) & (F.col("n_words") >= window)
     j = j.withColumn("n_removed", F.when(late, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))))
-    j = j.withColumn("kept_sha256", F.when(late, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")))
+    j = j.withColumn("kept_sha256", F.when(late, F.lit(EMPTY)).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha")))))
+    j = j.withColumn("doc_id", F.when(F.col("id") < LAST, F.col("id")))
     return j.withColumn("kept", F.when(late, F.lit("")).otherwise(F.col("kept"))) if text else j
 
 
 def op9_substrings(docs: DataFrame) -> DataFrame:
-    return judged(*find(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return judged(docs, *find(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the words that go removed from their texts (then joined by spaces); texts that keep all their words stay as they
     are, and documents that keep none go. ``n_chars``, if there, is counted again."""
-    rows = judged(*find(docs), text=True).filter("n_removed > 0").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept"))
-    changed = common.written(rows.dropDuplicates(["_id", "_sha"]), "changed")
-    sha = F.sha2(F.array_join(common.words(F.col("text")), " "), 256)
-    mine = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), sha.alias("_sha")).join(changed, ["_id", "_sha"], "left")
-    mine = mine.filter(F.col("_kept").isNull() | (F.col("_kept") != "")).withColumn("text", F.coalesce("_kept", "text"))
+    rows = judged(docs, *find(docs), text=True).filter("n_removed > 0").select("id", "key", "kept")
+    changed = common.written(rows.dropDuplicates(["id", "key"]), "changed")
+    mine = common.boxed(docs, id=_id(), key=F.xxhash64("text")).join(changed, ["id", "key"], "left").filter(F.col("kept").isNull() | (F.col("kept") != ""))
+    new = {"text": F.coalesce("kept", F.col("_doc.text"))}
     if "n_chars" in docs.columns:
-        mine = mine.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return mine.select(*docs.columns)
+        old = F.col("_doc.n_chars")
+        new["n_chars"] = F.when(F.col("kept").isNull(), old).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return mine.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
