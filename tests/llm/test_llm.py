@@ -217,6 +217,20 @@ def test_simhash_large_buckets(spark, monkeypatch):
     assert sorted(groups.values()) == sorted(mine.values())
 
 
+def test_components(spark):
+    r = random.Random(12)
+    links = [(a, a + 1) for a in range(-60, 60)] + [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(120)] + [(5000, k) for k in range(5001, 5100)]
+    label = {x: x for p in links for x in p}
+    for _ in range(400):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(links, "u long, v long")
+    want = {x: k for x, k in label.items() if any(x in p and p[0] != p[1] for p in links)}
+    for small in (10**6, 0):
+        assert {x["node"]: x["label"] for x in components.components(df, small).collect()} == want
+    assert components.components(df.filter("u is null")).count() == 0
+
+
 def test_media(odd):
     got = media.op5_media(odd).collect()
     want = Counter()
