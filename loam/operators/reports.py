@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.config import Readiness, Split
@@ -68,14 +68,15 @@ def scan_stats(staged: DataFrame) -> DataFrame:
     return staged.select(F.inline(F.array_compact(items))).groupBy("item").agg(F.sum("n").alias("n"))
 
 
+# fixed values: what the gate says of each check that fails
 MESSAGES = (
-    ("enough_documents", "Need {min_documents:,} selected documents or more"),
-    ("robotics_representation", "Need a robotics fraction of {min_robotics:.0%} or more"),
-    ("neurotechnology_representation", "Need a neurotechnology fraction of {min_neurotechnology:.0%} or more"),
-    ("combined_technology_representation", "Need robotics and neurotechnology together at {min_technology:.0%} or more"),
-    ("validation_size", "Need {min_val:,} validation documents or more"),
-    ("test_size", "Need {min_test:,} test documents or more"),
-    ("cleaning_not_excessive", "Cleaning must be measured and remove {max_removed:.0%} of the characters at most"),
+    ("enough_documents", "Need at least {min_documents:,} selected documents; found {found}."),
+    ("robotics_representation", "Need robotics fraction >= {min_robotics:.0%}; found {found}."),
+    ("neurotechnology_representation", "Need neurotechnology fraction >= {min_neurotechnology:.0%}; found {found}."),
+    ("combined_technology_representation", "Need robotics + neurotechnology >= {min_technology:.0%}; found {found}."),
+    ("validation_size", "Need at least {min_val:,} validation documents; found {found}."),
+    ("test_size", "Need at least {min_test:,} test documents; found {found}."),
+    ("cleaning_not_excessive", "Cleaning statistics are missing or the cleaner removed more than {max_removed:.0%} of source characters."),
 )
 
 
@@ -88,13 +89,53 @@ def readiness(selected: DataFrame, cleaning_sums: DataFrame, r: Readiness) -> Da
     )
     x = a.crossJoin(F.broadcast(cleaning_sums))  # one row each
     of = lambda c: c / F.greatest(F.lit(1), F.col("selected"))
+    robotics, neuro, tech = of(F.col("robotics")), of(F.col("neuro")), of(F.col("robotics") + F.col("neuro"))
     removed = F.coalesce("removed_chars", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("original_chars", F.lit(0)))
+    whole = lambda c: F.format_number(F.col(c), 0)
+    percent = lambda c: F.format_string("%.1f%%", 100 * c)
+    documents = lambda share, c: F.concat(percent(share), F.lit(" ("), whole(c), F.lit(" documents)"))
     checks = (
-        F.col("selected") >= r.min_documents, of(F.col("robotics")) >= r.min_robotics, of(F.col("neuro")) >= r.min_neurotechnology,
-        of(F.col("robotics") + F.col("neuro")) >= r.min_technology, F.col("val") >= r.min_val, F.col("test") >= r.min_test,
-        (F.coalesce("original_chars", F.lit(0)) > 0) & (removed <= r.max_removed),
+        (F.col("selected") >= r.min_documents, whole("selected")), (robotics >= r.min_robotics, documents(robotics, "robotics")),
+        (neuro >= r.min_neurotechnology, documents(neuro, "neuro")), (tech >= r.min_technology, percent(tech)),
+        (F.col("val") >= r.min_val, whole("val")), (F.col("test") >= r.min_test, whole("test")),
+        ((F.coalesce("original_chars", F.lit(0)) > 0) & (removed <= r.max_removed), F.lit("")),
     )
-    named = F.struct(*[c.alias(k) for (k, _), c in zip(MESSAGES, checks, strict=True)])
-    metrics = F.struct("selected", "robotics", "neuro", of(F.col("robotics")).alias("robotics_fraction"), of(F.col("neuro")).alias("neurotechnology_fraction"), "val", "test", removed.alias("removed_fraction"))
-    why = F.array_compact(F.array(*[F.when(~c, F.lit(m.format(**r.__dict__))) for (_, m), c in zip(MESSAGES, checks, strict=True)]))
+    named = F.struct(*[c.alias(k) for (k, _), (c, _) in zip(MESSAGES, checks, strict=True)])
+    metrics = F.struct(
+        F.col("selected").alias("selected_documents"), F.col("robotics").alias("robotics_documents"), F.col("neuro").alias("neurotechnology_documents"),
+        robotics.alias("robotics_fraction"), neuro.alias("neurotechnology_fraction"), tech.alias("combined_technology_fraction"),
+        F.col("val").alias("validation_documents"), F.col("test").alias("test_documents"), removed.alias("cleaning_removed_fraction"),
+    )
+
+    def said(message: str, found: Column) -> Column:
+        before, mark, after = message.format(found="\0", **r.__dict__).partition("\0")
+        return F.concat(F.lit(before), found, F.lit(after)) if mark else F.lit(before)
+
+    why = F.array_compact(F.array(*[F.when(~c, said(m, found)) for (_, m), (c, found) in zip(MESSAGES, checks, strict=True)]))
     return x.select(named.alias("checks"), metrics.alias("metrics"), (F.size(why) == 0).alias("ready"), why.alias("reasons"))
+
+
+def require_ready(verdict: DataFrame) -> None:
+    """The strict gate: raises with the reasons of a verdict by ``readiness``, which is one row."""
+    row = verdict.select("ready", "reasons").first()
+    if not row["ready"]:
+        raise SystemExit("\n".join(row["reasons"]))
+
+
+def curation_stats(curated: DataFrame) -> DataFrame:
+    """(item, n) of a curation: raw, accepted and rejected documents, accepted words and characters, and accepted documents by split, source and language."""
+    ok = F.col("reasons") == ""
+    pair = lambda k, v: F.struct(k.alias("item"), v.cast("long").alias("n"))
+    of = lambda p, c: F.when(ok, pair(F.concat(F.lit(p), F.coalesce(F.col(c), F.lit("unknown"))), F.lit(1)))
+    items = F.array(
+        pair(F.lit("raw"), F.lit(1)), pair(F.when(ok, "accepted").otherwise("rejected"), F.lit(1)), F.when(ok, pair(F.lit("words"), F.col("words"))),
+        F.when(ok, pair(F.lit("chars"), F.col("chars"))), of("split:", "split"), of("source:", "source"), of("lang:", "lang"),
+    )
+    return curated.select(F.inline(F.array_compact(items))).groupBy("item").agg(F.sum("n").alias("n"))
+
+
+def require_documents(stats: DataFrame, least: int) -> None:
+    """Raises if a scan's statistics (item, n) count fewer accepted documents."""
+    found = stats.filter("item = 'accepted'").agg(F.sum("n")).first()[0] or 0
+    if found < least:
+        raise SystemExit(f"{found:,} documents were accepted; at least {least:,} are needed")

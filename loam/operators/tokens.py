@@ -32,8 +32,32 @@ def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bo
     return docs.select("ord", ids("text").alias("ids"))
 
 
+def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """``docs`` (ord, ids) to (ord, text): what ``encode`` has made of a text, put together again."""
+    path = model or _piece_model()
+
+    @F.pandas_udf("string")
+    def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        for x in ids:
+            yield pd.Series([sp.decode([int(i) for i in t]) for t in x])
+
+    return docs.select("ord", text("ids").alias("text"))
+
+
+def require_vocabulary(size: int, model: str | None = None) -> None:
+    """Raises unless the model has so many pieces."""
+    import sentencepiece
+
+    found = sentencepiece.SentencePieceProcessor(model_file=model or _piece_model()).get_piece_size()
+    if found != size:
+        raise ValueError(f"the tokenizer has {found:,} pieces, the settings say {size:,}")
+
+
 def blocks(docs: DataFrame, ctx: int) -> DataFrame:
-    """``docs`` (ord, ids) laid end to end in order and cut into whole blocks: (block, ids).
+    """``docs`` (ord, ids) laid end to end in order and cut into whole blocks: (block, ids, y), where y is ids shifted by one token.
 
     A document's place is a sum over ranges of ord, then over the documents of its range; its parts go to the blocks they fall in. At least one
     block is made, and the last token of the stream never starts one.
@@ -47,13 +71,14 @@ def blocks(docs: DataFrame, ctx: int) -> DataFrame:
     at = sized.withColumn("i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offs, "g").select("ord", (F.col("o") + F.col("i")).alias("at"))
     total = sums.agg(F.greatest(F.lit(1), F.floor((F.sum("s") - 1) / ctx)).alias("blocks"))
     d = d.join(at, "ord").filter("n > 0")
-    first, last = F.floor(F.col("at") / ctx), F.floor((F.col("at") + F.col("n") - 1) / ctx)
+    # a block also has the token after it, for y
+    first, last = F.floor(F.greatest(F.col("at") - 1, F.lit(0)) / ctx), F.floor((F.col("at") + F.col("n") - 1) / ctx)
     d = d.select("at", "ids", "n", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("block") * ctx - F.col("at"), F.lit(0))
-    hi = F.least((F.col("block") + 1) * ctx - F.col("at"), F.col("n"))
+    hi = F.least((F.col("block") + 1) * ctx + 1 - F.col("at"), F.col("n"))
     part = d.select("block", "at", F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
     whole = part.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
-    return whole.join(F.broadcast(total)).filter("block < blocks").select("block", "ids")
+    return whole.join(F.broadcast(total)).filter("block < blocks").select("block", F.slice("ids", 1, ctx).alias("ids"), F.slice("ids", 2, ctx).alias("y"))  # one row
 
 
 def random_windows(cut: DataFrame, ctx: int, n: int, seed: int) -> DataFrame:

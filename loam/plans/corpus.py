@@ -15,7 +15,7 @@ from loam.sources import articles
 
 DEDUP = C.Dedup()
 # fixed values: small dimensions of the discovery queries
-TOPICS = (C.Topic("a", "x AND y", 2.0), C.Topic("b", "z", 1.5), C.Topic("c", "w OR v", 1.0))
+TOPICS = {"a": 2.0, "b": 1.5, "c": 1.0}
 
 
 @query("scan_lineage", "SELECT doc_id, 'documents.parquet' AS origin FROM documents")
@@ -33,9 +33,14 @@ def _(spark, sf):
     return articles.eos_chunks(X.docs(spark, sf).select(F.col("doc_id"), F.col("doc_id").cast("string").alias("stem"), F.expr(_STREAM).alias("text"))).select("doc_id", "i", "id")
 
 
-@query("query_plan", "WITH t(topic, q) AS (VALUES ('a', 'x AND y'), ('b', 'z'), ('c', 'w OR v')), l(licence, f) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in C.LICENCE_FILTERS.items()) + f") SELECT topic, licence, '(' || q || ') AND ' || f || ' {articles.INTEGRITY}' AS query FROM t, l")
+_SEARCHES = C.SEARCHES + C.ROBOTICS_SEARCHES
+_TOPIC_ROWS = ", ".join("('{}', '{}')".format(name, q) for name, q, _ in _SEARCHES)
+_FILTER_ROWS = """('CC0', '"cc0 license"[filter]'), ('CC-BY', '"cc by license"[filter]'), ('CC-BY-SA', '"cc by-sa license"[filter]')"""
+
+
+@query("query_plan", f"WITH t(topic, q) AS (VALUES {_TOPIC_ROWS}), l(licence, f) AS (VALUES {_FILTER_ROWS}) SELECT topic, licence, '(' || q || ') AND ' || f || ' {articles.INTEGRITY}' AS query FROM t, l")
 def _(spark, sf):
-    return articles.query_plan(spark, TOPICS)
+    return articles.query_plan(spark, _SEARCHES)
 
 
 _FOUND = "SELECT doc_id::VARCHAR AS id, CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS topic, lang AS licence FROM documents UNION ALL SELECT (doc_id % 50)::VARCHAR, 'c', source FROM documents"
@@ -52,13 +57,13 @@ def found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("discovery_merge", f"WITH {_MERGED} SELECT id, score, topics, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM f JOIN m USING (id) GROUP BY id, score, topics")
 def _(spark, sf):
-    m = articles.merge_found(found(spark, sf), {t.name: t.weight for t in TOPICS})
+    m = articles.merge_found(found(spark, sf), TOPICS)
     return m.select("id", "score", F.array_join("topics", ",").alias("topics"), F.array_join("licences", ",").alias("licences"))
 
 
 @query("ranked_topn", f"WITH {_MERGED} SELECT id, score FROM m ORDER BY score DESC, id LIMIT 25")
 def _(spark, sf):
-    return articles.merge_found(found(spark, sf), {t.name: t.weight for t in TOPICS}).orderBy(F.desc("score"), "id").limit(25).select("id", "score")
+    return articles.merge_found(found(spark, sf), TOPICS).orderBy(F.desc("score"), "id").limit(25).select("id", "score")
 
 
 _PASS = f"{D.NORM}, {D.metrics()}, q AS (SELECT *, {D.reasons(C.TEST_QUALITY)} AS rs FROM m), p AS (SELECT doc_id AS ord, source, lang, t, words, chars, sha256(t) AS sha FROM q WHERE len(rs) = 0)"
@@ -70,8 +75,17 @@ def _(spark, sf):
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    n = X.normalised(spark, sf).select(F.col("doc_id").alias("ord"), "source", "lang", "t", quality.metrics(F.col("t")).alias("m"))
-    return n.withColumn("rs", quality.reasons(F.col("m"), C.TEST_QUALITY))
+    n = X.normalised(spark, sf)
+    both = T.let(quality.metrics(F.col("t")), lambda m: F.struct(m.alias("m"), quality.with_missing_id(quality.reasons(m, C.TEST_QUALITY), F.col("ord").cast("string")).alias("rs")))
+    return X.once(n.select(F.col("doc_id").alias("ord"), "source", "lang", "t"), both)
+
+
+@query("missing_identifier", f"""WITH {D.NORM}, {D.metrics()}, q AS (SELECT doc_id, {D.reasons(C.TEST_QUALITY)} AS rs FROM m)
+SELECT doc_id, array_to_string(CASE WHEN doc_id % 7 = 0 THEN list_append(rs, 'missing_identifier') ELSE rs END, ',') AS reasons FROM q""")
+def _(spark, sf):
+    given = F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.col("doc_id").cast("string"))
+    found = quality.with_missing_id(quality.reasons(quality.metrics(F.col("t")), C.TEST_QUALITY), given)
+    return X.normalised(spark, sf).select("doc_id", F.array_join(found, ",").alias("reasons"))
 
 
 def passed(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +94,7 @@ def passed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("exact_dedup", f"WITH {_PASS} SELECT ord AS doc_id, first, first <> ord AS duplicate FROM (SELECT ord, min(ord) OVER (PARTITION BY sha) AS first FROM p)")
 def _(spark, sf):
-    return dedup.exact(passed(spark, sf).select("ord", "sha")).select(F.col("ord").alias("doc_id"), "first", (F.col("first") != F.col("ord")).alias("duplicate"))
+    return dedup.exact(dedup.settled(passed(spark, sf).select("ord", "sha"))).select(F.col("ord").alias("doc_id"), "first", (F.col("first") != F.col("ord")).alias("duplicate"))
 
 
 _SH = f"""sh0 AS (SELECT ord, list_transform({D.words('t')}, lambda x: lower(x)) AS w FROM p WHERE ord = (SELECT min(p2.ord) FROM p p2 WHERE p2.sha = p.sha)),
@@ -187,6 +201,18 @@ def _(spark, sf):
     return X.docs(spark, sf).select("doc_id", classify.split_of(F.col("doc_id").cast("string"), C.Split()).alias("split"))
 
 
+@query("output_shuffle", "SELECT doc_id, sha256('9:' || doc_id) AS place FROM documents")
+def _(spark, sf):
+    return classify.shuffled(X.docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("id")), "id", 9).select("doc_id", F.col("_order").alias("place"))
+
+
+@query("curation_stats", f"""WITH RECURSIVE {_CUR}, ok AS (SELECT * FROM cu WHERE reasons = ''), r AS (SELECT 'raw' AS item, count(*)::BIGINT AS n FROM cu UNION ALL SELECT 'accepted', count(*) FROM ok UNION ALL SELECT 'rejected', count(*) FROM cu WHERE reasons <> ''
+ UNION ALL SELECT 'words', sum(words)::BIGINT FROM ok UNION ALL SELECT 'chars', sum(chars)::BIGINT FROM ok UNION ALL SELECT 'split:' || split, count(*) FROM ok GROUP BY split
+ UNION ALL SELECT 'source:' || coalesce(source, 'unknown'), count(*) FROM ok GROUP BY source UNION ALL SELECT 'lang:' || coalesce(lang, 'unknown'), count(*) FROM ok GROUP BY lang) SELECT item, n FROM r WHERE n > 0""")
+def _(spark, sf):
+    return reports.curation_stats(curated(spark, sf))
+
+
 # reports
 
 
@@ -223,18 +249,23 @@ def _(spark, sf):
     return reports.category_counts(categorised(spark, sf))
 
 
-QUOTAS = classify.target_counts(6000)
+QUOTAS = classify.quotas(6000, C.MIX)
 _MIX = f"""ca AS (SELECT doc_id, doc_id::VARCHAR AS id, source, {_CATEGORY} AS category FROM documents), qu(category, quota) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in QUOTAS.items())}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('42:' || id), id) AS r FROM ca WHERE category IS NOT NULL),
 top AS (SELECT rk.* EXCLUDE (r) FROM rk JOIN qu USING (category) WHERE r <= quota),
 mx AS (SELECT *, 'quota' AS picked FROM top UNION ALL SELECT * EXCLUDE (b), 'backfill' FROM (SELECT *, row_number() OVER (ORDER BY sha256('43:' || id), id) AS b FROM ca WHERE category IS NOT NULL AND id NOT IN (SELECT id FROM top)) WHERE b <= {sum(QUOTAS.values())} - (SELECT count(*) FROM top))"""
 
 
-@query("target_counts", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in QUOTAS.items()) + ") AS t(category, quota)")
+@query("target_counts", "SELECT * FROM (VALUES ('core_rehab', 2700::BIGINT), ('robotics', 1800), ('neurotechnology', 900), ('assistive', 600)) AS t(category, quota)")
 def _(spark, sf):
     return spark.createDataFrame(list(QUOTAS.items()), "category string, quota long")
 
 
+@query("scaled_targets", "SELECT * FROM (VALUES ('core_rehab', 2084::BIGINT), ('robotics', 1250), ('neurotechnology', 833), ('assistive', 833)) AS t(category, quota)")
+def _(spark, sf):
+    return spark.createDataFrame(list(classify.quotas(5000, C.HOSTED_MIX, whole=12_000, least=1, exact=round).items()), "category string, quota long")
+
+
 @query("mixture_quota", f"WITH {_MIX} SELECT doc_id, category FROM top")
 def _(spark, sf):
     return classify.select_mixture(categorised(spark, sf), QUOTAS, 42).filter("picked = 'quota'").select("doc_id", "category")
@@ -255,12 +286,17 @@ def _(spark, sf):
 @query("readiness", f"""WITH {_MIX}, sp AS (SELECT *, {D.split('id')} AS split FROM mx), a AS (SELECT count(*) AS n, count(*) FILTER (category = 'robotics') AS ro, count(*) FILTER (category = 'neurotechnology') AS ne,
  count(*) FILTER (split = 'val') AS v, count(*) FILTER (split = 'test') AS te FROM sp), {D.cleaned()}, z AS (SELECT sum(original) AS o, sum(removed) AS r FROM c),
  f AS (SELECT n >= 3500 AS enough_documents, ro / greatest(1, n) >= 0.12 AS robotics_representation, ne / greatest(1, n) >= 0.05 AS neurotechnology_representation, (ro + ne) / greatest(1, n) >= 0.2 AS combined_technology_representation,
- v >= 100 AS validation_size, te >= 100 AS test_size, o > 0 AND r / greatest(1, o) <= 0.3 AS cleaning_not_excessive FROM a, z)
- SELECT *, enough_documents AND robotics_representation AND neurotechnology_representation AND combined_technology_representation AND validation_size AND test_size AND cleaning_not_excessive AS ready FROM f""")
+ v >= 100 AS validation_size, te >= 100 AS test_size, o > 0 AND r / greatest(1, o) <= 0.3 AS cleaning_not_excessive, n, ro, ne, v, te FROM a, z)
+ SELECT * EXCLUDE (n, ro, ne, v, te), array_to_string(list_filter([CASE WHEN NOT enough_documents THEN format('Need at least 3,500 selected documents; found {{:,}}.', n) END,
+ CASE WHEN NOT robotics_representation THEN format('Need robotics fraction >= 12%; found {{:.1f}}% ({{:,}} documents).', 100 * (ro / greatest(1, n)), ro) END,
+ CASE WHEN NOT neurotechnology_representation THEN format('Need neurotechnology fraction >= 5%; found {{:.1f}}% ({{:,}} documents).', 100 * (ne / greatest(1, n)), ne) END,
+ CASE WHEN NOT combined_technology_representation THEN format('Need robotics + neurotechnology >= 20%; found {{:.1f}}%.', 100 * ((ro + ne) / greatest(1, n))) END,
+ CASE WHEN NOT validation_size THEN format('Need at least 100 validation documents; found {{:,}}.', v) END, CASE WHEN NOT test_size THEN format('Need at least 100 test documents; found {{:,}}.', te) END,
+ CASE WHEN NOT cleaning_not_excessive THEN 'Cleaning statistics are missing or the cleaner removed more than 30% of source characters.' END], lambda x: x IS NOT NULL), chr(10)) AS reasons, enough_documents AND robotics_representation AND neurotechnology_representation AND combined_technology_representation AND validation_size AND test_size AND cleaning_not_excessive AS ready FROM f""")
 def _(spark, sf):
     m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.Split()))
     c = X.cleaned(spark, sf).agg(F.sum("c.original_chars").alias("original_chars"), F.sum("c.removed_chars").alias("removed_chars"))
-    return reports.readiness(m, c, C.Readiness()).select("checks.*", "ready")
+    return reports.readiness(m, c, C.Readiness()).select("checks.*", "ready", F.array_join("reasons", "\n").alias("reasons"))
 
 
 @query("scan_stats", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, words, {X.LICENCE_SQL} AS licence, {D.category('t', C.TEST_TOPICS)} AS category, {D.reasons(C.HOSTED_QUALITY)} AS rs FROM m),
@@ -330,13 +366,15 @@ def _(spark, sf):
 
 
 @query("token_blocks", f"""WITH w AS (SELECT doc_id, unnest(list_transform(list_concat(['s'], regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), ['e']), lambda x: length(x)::BIGINT)) AS tok, generate_subscripts(list_concat(['s'], regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), ['e']), 1) AS i FROM documents),
- p AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM w), n AS (SELECT greatest(1, (count(*) - 1) // 128) AS n FROM p)
- SELECT pos // 128 AS block, count(*)::BIGINT AS n, sum(tok * (pos % 128 + 1))::BIGINT AS digest FROM p, n WHERE pos // 128 < n.n GROUP BY 1""")
+ p AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM w), n AS (SELECT greatest(1, (count(*) - 1) // 128) AS n FROM p),
+ x AS (SELECT pos // 128 AS block, count(*)::BIGINT AS n, sum(tok * (pos % 128 + 1))::BIGINT AS digest FROM p, n WHERE pos // 128 < n.n GROUP BY 1),
+ y AS (SELECT (pos - 1) // 128 AS block, sum(tok * ((pos - 1) % 128 + 1))::BIGINT AS shifted FROM p WHERE pos > 0 GROUP BY 1) SELECT block, n, digest, shifted FROM x JOIN y USING (block)""")
 def _(spark, sf):
     w = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     d = X.docs(spark, sf).select(F.col("doc_id").alias("ord"), F.transform(F.concat(F.array(F.lit("s")), w, F.array(F.lit("e"))), lambda x: F.length(x).cast("long")).alias("ids"))
     b = tokens.blocks(d, 128)
-    return b.select("block", F.size("ids").cast("long").alias("n"), F.aggregate(F.transform("ids", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("digest"))
+    digest = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return b.select("block", F.size("ids").cast("long").alias("n"), digest("ids").alias("digest"), digest("y").alias("shifted"))
 
 
 @query("encode_tokens")
@@ -344,6 +382,13 @@ def _(spark, sf):
     return tokens.encode(X.docs(spark, sf).select(F.col("doc_id").alias("ord"), "text")).select(F.col("ord").alias("doc_id"), F.size("ids").cast("long").alias("n"))
 
 
+@query("decode_tokens")
+def _(spark, sf):
+    """Texts that a tokenizer has taken apart and put together again."""
+    d = tokens.decode(tokens.encode(X.docs(spark, sf).select(F.col("doc_id").alias("ord"), "text")))
+    return d.select(F.col("ord").alias("doc_id"), F.md5("text").alias("digest"))
+
+
 @query("encode_corpus")
 def _(spark, sf):
     d = tokens.encode(X.docs(spark, sf).select(F.col("doc_id").alias("ord"), "text"), bos=True, eos=True)
@@ -361,7 +406,7 @@ def _(spark, sf):
     return tokens.bpe_merges(X.docs(spark, sf).select("text"), 20)
 
 
-@query("flatten_nested")
+@query("flatten_nested", f"SELECT doc_id, md5(array_to_string(list_filter([{D.strip('source')}, {D.strip('text')}], lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM documents")
 def _(spark, sf):
     d = X.docs(spark, sf)
     passage = lambda kind, c: F.struct(F.lit(kind).alias("section_type"), c.alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam import config as C
@@ -24,6 +24,11 @@ def measured(df: DataFrame, c: str = "t", *keep: str) -> DataFrame:
     return df.select(*keep, quality.metrics(F.col(c)).alias("m"))
 
 
+def once(df: DataFrame, made: Column) -> DataFrame:
+    """``df`` and the fields of a struct that is worked out once a row: a filter on them can't be moved before, where it would work them out again."""
+    return df.select("*", F.inline(F.array(made)))
+
+
 def derived(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", "source", "lang", F.expr(D.DERIVED).alias("text"))
 
@@ -178,8 +183,8 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
 @query("clean_filter", f"WITH {D.cleaned()}, n AS (SELECT doc_id, text AS t FROM c), {D.metrics()} SELECT doc_id, words FROM m WHERE len({D.reasons(C.CLEAN_QUALITY)}) = 0")
 def _(spark, sf):
     c = cleaned(spark, sf).select("doc_id", F.col("c.text").alias("t"))
-    m = measured(c, "t", "doc_id").filter(F.size(quality.reasons(F.col("m"), C.CLEAN_QUALITY)) == 0)
-    return m.select("doc_id", F.col("m.words").cast("long").alias("words"))
+    m = T.let(quality.metrics(F.col("t")), lambda x: F.struct(x["words"].cast("long").alias("words"), F.size(quality.reasons(x, C.CLEAN_QUALITY)).alias("broken")))
+    return once(c, m).filter("broken = 0").select("doc_id", "words")
 
 
 def _markers() -> str:

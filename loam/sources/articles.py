@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.config import EXCLUDED_SECTIONS, LICENCE_FILTERS, Topic
+from loam.config import EXCLUDED_SECTIONS, LICENCE_FILTERS
 from loam.functions import text as T
 
 # fixed value: what a search must not find
@@ -49,6 +49,13 @@ def one_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (r.schema(schema) if schema else r).json(path)
 
 
+def instruction_rows(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of instructions, any of whose fields may be missing; ``ord`` is a row's place by file and line."""
+    df = spark.read.schema("id string, instruction string, context string, response string").json(path, mode="FAILFAST")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return df.select("id", "instruction", F.coalesce("context", F.lit("")).alias("context"), "response", place.alias("ord"))
+
+
 def token_file(spark: SparkSession, path: str) -> DataFrame:
     """Flat little-endian int32 files: (path, ids)."""
     import numpy as np
@@ -65,9 +72,9 @@ def query_text(query: Column, licence: Column) -> Column:
     return F.concat(F.lit("("), query, F.lit(") AND "), licence, F.lit(f" {INTEGRITY}"))
 
 
-def query_plan(spark: SparkSession, topics: Sequence[Topic]) -> DataFrame:
+def query_plan(spark: SparkSession, topics: Sequence[tuple[str, str, float]]) -> DataFrame:
     """Every topic with every licence filter. Both are small literals; the product is made by exploding an array."""
-    t = spark.createDataFrame([(x.name, x.query) for x in topics], "topic string, q string")
+    t = spark.createDataFrame([(name, q) for name, q, _ in topics], "topic string, q string")
     licences = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(v).alias("f")) for k, v in LICENCE_FILTERS.items()])
     return t.select("topic", "q", F.inline(licences)).select("topic", "licence", query_text(F.col("q"), F.col("f")).alias("query"))
 

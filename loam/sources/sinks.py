@@ -4,14 +4,68 @@ from __future__ import annotations
 
 import json
 import subprocess
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
-def jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def jsonl(df: DataFrame, path: str, keep: bool = False) -> None:
+    """``keep``: what is there already stays, and nothing is computed."""
+    df.write.mode("ignore" if keep else "overwrite").json(path)
+
+
+class _TokenWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        import numpy as np
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, top = fs.FileSystem.from_uri(self.path)
+        store.create_dir(top, recursive=True)
+        c = TaskContext.get()
+        name = f"{top}/.part-{c.partitionId():05d}-{c.taskAttemptId()}"
+        with store.open_output_stream(name) as out:
+            for r in rows:
+                out.write(np.asarray(r[0], "<i4").tobytes())
+        return _Part(name, c.partitionId())
+
+    def commit(self, messages: list) -> None:
+        """Only files of tasks that ended get their names; those of lost attempts stay hidden."""
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m:
+                store.move(m.name, f"{top}/part-{m.part:05d}.bin")
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    name: str
+    part: int
+
+
+class TokenFiles(DataSource):
+    """Flat little-endian int32 files, one a partition, of rows (ids) in their order."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "int32_tokens"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _TokenWriter(self.options["path"])
+
+
+def token_files(df: DataFrame, path: str) -> None:
+    """``df`` (ids) to ``path``, a URI that every executor reaches."""
+    df.sparkSession.dataSource.register(TokenFiles)
+    df.select(F.col("ids").cast("array<int>").alias("ids")).write.format("int32_tokens").mode("append").save(path)
 
 
 def split_texts(df: DataFrame, path: str, mark: str = "<eos>") -> None:
@@ -20,8 +74,8 @@ def split_texts(df: DataFrame, path: str, mark: str = "<eos>") -> None:
 
 
 def manifest(spark: SparkSession, values: Mapping, path: str) -> None:
-    """One line of JSON with sorted keys."""
-    text = json.dumps(values, sort_keys=True, ensure_ascii=False, default=str)
+    """Indented JSON with sorted keys."""
+    text = json.dumps(values, sort_keys=True, ensure_ascii=False, indent=2, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -31,6 +85,14 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def run_manifest(spark: SparkSession, data: Sequence[str], parameters: Mapping, path: str) -> dict:
+    """What a run was made of: the code, its parameters, and bytes and SHA-256 of each of the named files; written to ``path``."""
+    files = [] if not data else [r.asDict() for p in data for r in file_hashes(spark, p).orderBy("path").collect()]  # a row per named file
+    made = {"code": code_version(), "parameters": dict(parameters), "data": files, "bytes": sum(f["bytes"] for f in files)}
+    manifest(spark, made, path)
+    return made
+
+
 def code_version() -> str | None:
     try:
         return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True, timeout=10).stdout.strip()
@@ -38,7 +100,13 @@ def code_version() -> str | None:
         return None
 
 
+#: Lines of a report.
+MOST_LINES = 1000
+
+
 def markdown(counts: DataFrame, title: str) -> str:
-    """A report of (item, n), which has a row per kind of item: the largest first."""
-    rows = counts.orderBy(F.desc("n"), "item").collect()
+    """A report of (item, n), the largest first; past MOST_LINES items, it says so."""
+    rows = counts.orderBy(F.desc("n"), "item").limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        rows, title = rows[:MOST_LINES], f"{title} (the {MOST_LINES:,} largest)"
     return "\n".join([f"# {title}", "", *[f"- {r['item']}: {r['n']:,}" for r in rows]]) + "\n"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loam import config as C
 from loam.functions import text as T
-from loam.operators import classify, cleaning, dedup, instructions, numeric, quality, reports
+from loam.operators import classify, cleaning, dedup, instructions, numeric, quality, reports, tokens
 from loam.sources import articles, sinks
 
 
@@ -75,11 +75,11 @@ def test_licences(spark):
 
 
 def test_targets():
-    q = classify.target_counts(6000)
+    q = classify.quotas(6000, C.MIX)
     assert q["core_rehab"] == 2700 and q["robotics"] == 1800 and sum(q.values()) == 6000
-    assert sum(classify.scaled_targets(12001, C.HOSTED_MIX).values()) == 12001
+    assert sum(classify.quotas(12001, C.HOSTED_MIX, whole=12_000, least=1, exact=round).values()) == 12001
     with pytest.raises(ValueError):
-        classify.target_counts(0)
+        classify.quotas(0, C.MIX)
     with pytest.raises(ValueError):
         C.Split(0.5, 0.1, 0.1)
 
@@ -151,3 +151,64 @@ def test_stream(spark, tmp_path):
     q = select_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", C.TEST_TOPICS)
     q.awaitTermination(60)
     assert {(r["id"], r["stage"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} >= {("a", "accepted"), ("c", "missing_id_or_licence")}
+
+
+def test_gate_says_what_it_found(spark):
+    sel = spark.createDataFrame([(i, "robotics" if i % 20 == 0 else "core_rehab", "train") for i in range(3546)], "doc_id long, category string, split string")
+    sums = spark.createDataFrame([(1000, 400)], "original_chars long, removed_chars long")
+    r = reports.readiness(sel, sums, C.Readiness())
+    assert r.first()["reasons"] == [
+        "Need robotics fraction >= 12%; found 5.0% (178 documents).",
+        "Need neurotechnology fraction >= 5%; found 0.0% (0 documents).",
+        "Need robotics + neurotechnology >= 20%; found 5.0%.",
+        "Need at least 100 validation documents; found 0.",
+        "Need at least 100 test documents; found 0.",
+        "Cleaning statistics are missing or the cleaner removed more than 30% of source characters.",
+    ]
+    with pytest.raises(SystemExit):
+        reports.require_ready(r)
+    with pytest.raises(SystemExit):
+        reports.require_documents(spark.createDataFrame([("accepted", 9)], "item string, n long"), 10)
+
+
+def test_tokens_back_to_text(spark):
+    d = spark.createDataFrame([(1, "The gait trainer helps."), (2, ""), (3, None)], "ord long, text string")
+    assert {r["ord"]: r["text"] for r in tokens.decode(tokens.encode(d)).collect()} == {1: "The gait trainer helps.", 2: "", 3: ""}
+    tokens.require_vocabulary(32_000)
+    with pytest.raises(ValueError):
+        tokens.require_vocabulary(8_000)
+
+
+def test_blocks_and_their_shift(spark):
+    d = spark.createDataFrame([(0, [1, 2, 3]), (1, []), (2, [4, 5]), (3, [6, 7, 8, 9, 10])], "ord long, ids array<int>")
+    got = {r["block"]: (r["ids"], r["y"]) for r in tokens.blocks(d, 4).collect()}
+    assert got == {0: ([1, 2, 3, 4], [2, 3, 4, 5]), 1: ([5, 6, 7, 8], [6, 7, 8, 9])}
+
+
+def test_token_files_and_manifest(spark, tmp_path):
+    d = spark.createDataFrame([([1, -2, 3],), ([70_000],)], "ids array<int>").coalesce(1)
+    sinks.token_files(d, f"file://{tmp_path}/ids")
+    assert articles.token_file(spark, f"{tmp_path}/ids/*.bin").first()["ids"] == [1, -2, 3, 70_000]
+    made = sinks.run_manifest(spark, [f"{tmp_path}/ids/*.bin"], {"context": 512}, f"{tmp_path}/run")
+    assert made["bytes"] == 16 and made["parameters"] == {"context": 512} and len(made["data"][0]["sha256"]) == 64
+    sinks.jsonl(spark.range(2), f"{tmp_path}/rows")
+    sinks.jsonl(spark.range(9), f"{tmp_path}/rows", keep=True)
+    assert spark.read.json(f"{tmp_path}/rows").count() == 2
+
+
+def test_instruction_rows(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "instruction": "do", "response": "done"}\n')
+    r = articles.instruction_rows(spark, f"{tmp_path}/a.jsonl").first()
+    assert (r["id"], r["instruction"], r["context"], r["response"]) == ("1", "do", "", "done")
+
+
+def test_sampling(spark):
+    logits = spark.createDataFrame([(v, t, x) for v in range(400) for t, x in enumerate([0.0, 1.0, -30.0])], "vec_id long, token int, logit double")
+    got = [r["token"] for r in numeric.draw(logits, 5).collect()]
+    assert len(got) == 400 and set(got) == {0, 1} and 220 < sum(got) < 360
+    assert got == [r["token"] for r in numeric.draw(logits, 5).collect()]
+
+
+def test_parameter_counts():
+    assert numeric.parameter_count(8000, 512, 8, 384, 1536) == 17_437_440
+    assert numeric.parameter_count(8000, 256, 4, 256, 1024) == 5_263_872
