@@ -12,7 +12,7 @@ Scripts, styles, markup comments and the head hold no blocks. Inline tags don't
 
 Edge cases: null, empty and block-less pages have an empty text; unclosed tags run to the next block, unclosed comments, scripts and styles
 to the page's end; a head without an end tag ends at what can't be in one;
-repeated rows get a row each; an empty table gives no rows. Nothing is capped.
+repeated rows get a row each; an empty table gives no rows. Nothing is capped, however long a page is. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +43,10 @@ HEAD_TAGS = frozenset("head html base basefont bgsound link meta".split())
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = BLOCK_TAGS - {"button", "caption", "html", "body", "li", "option", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _TO_BLOCK = rf".*?(?=</?(?:{'|'.join(sorted(BLOCK_TAGS))})\b|\Z)"
+#: To the element's end tag, over whole elements of its kind inside it.
+_NESTED = r"(?:(?!</?\3\b).)*+(?:<\3\b(?:(?!</?\3\b).)*+</\3\s*+>(?:(?!</?\3\b).)*+)*+</\3\s*+>"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<({FLAT_TAGS})\b[^>]*+>(?:(?:(?!<\2\b).)*?</\2\s*>|{_TO_BLOCK})|<({DEEP_TAGS})\b[^>]*+>(?:.*?</\3\s*>|{_TO_BLOCK})"
+    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<({FLAT_TAGS})\b[^>]*+>(?:(?:(?!<\2\b).)*?</\2\s*>|{_TO_BLOCK})|<svg\b[^>]*+(?<=/)>|<({DEEP_TAGS})\b[^>]*+>(?:{_NESTED}|{_TO_BLOCK})"
     r"|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S | re.I,
 )

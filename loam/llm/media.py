@@ -1,18 +1,18 @@
-"""Media columns: payloads cut by content into chunks, kept once each, and put together again from ordered chunk lists.
+"""Media columns: media files cut by content into chunks, kept once each, and put together again from ordered chunk lists.
 
 A text's payload is its UTF-8 bytes and bytes 255 up to a multiple of UNIT; its stored form is a WAV file of 8-bit samples, one per payload
-byte. A rolling gear hash cuts payloads where the hash of the last 16 bytes ends in zero bits, so an insertion moves
+byte. The file's bytes, header included, are what is cut, stored, put together and parsed again. A rolling gear hash cuts files where the hash of the last 16 bytes ends in zero bits, so an insertion moves
 cuts near it only. A chunk's digest is its SHA-256.
 
 * The spool table has a row per chunk of each document: the manifest, and the chunk's bytes where this task meets the
   digest first.
 * Digests are elected by Spark: of each one exactly one spool row is the stored chunk; manifests of all other documents lead to it.
-* A payload of one chunk is read back where it lies. Distinct longer payloads are put together from their lists of chunks, by joins on digests; the
-  lists of equal payloads are equal and done once.
-* What is read back must have the payload's SHA-256 and is what all values are computed from.
+* A file of one chunk is read back where it lies. Distinct longer files are put together from their lists of chunks, by joins on digests; the
+  lists of equal files are equal and done once.
+* What is read back must have the file's SHA-256 and parse as a WAV file; its samples are what all values are computed from.
 
 Edge cases: null and empty texts have a payload of UNIT bytes 255; repeated rows and copies share all chunks and have equal values; an empty table
-gives no rows.
+gives no rows; a text of any length is stored whole. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LEAST, MOST = 8 << 10, 64 << 10
 #: Zero bits at a cut: on average a cut every 8 KiB after the least size.
 CUT_BITS = 13
 RATE = 8000
+#: Bytes of the header.
+HEADER = 44
 #: Bytes of a SHA-256 that name a chunk or payload in joins.
 KEY = 16
 #: Digests that a task remembers for not storing a chunk twice; election drops what it forgets.
@@ -72,6 +74,19 @@ def stored_header(size: int) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", size)
 
 
+def stored(text: str | None) -> bytes:
+    data = payload(text)
+    return stored_header(len(data)) + data
+
+
+def samples(media: bytes) -> bytes:
+    """The samples of a WAV file of this form."""
+    riff, size, wave, fmt, n_fmt, kind, channels, rate, _, _, bits, mark, n = struct.unpack_from("<4sI4s4sIHHIIHH4sI", media)
+    if (riff, wave, fmt, n_fmt, mark, kind, channels, rate, bits) != (b"RIFF", b"WAVE", b"fmt ", 16, b"data", 1, 1, RATE, 8) or size + 8 != len(media) or n + HEADER != len(media):
+        raise ValueError("not a WAV file of this form")
+    return media[HEADER:]
+
+
 def features(data: bytes) -> str:
     """Sum, sum of squares, crossings of the middle, commonest sample and number of different samples."""
     x = np.frombuffer(data, np.uint8)
@@ -95,7 +110,7 @@ def spool(docs: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in _SPOOL]
             held = 0
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = payload(t)
+                data = stored(t)
                 want, ends, lo = hashlib.sha256(data).digest()[:KEY], cuts(data), 0
                 for k, hi in enumerate(ends):
                     part = data[lo:hi]
@@ -123,14 +138,12 @@ _READ = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("pay
 _READ_SQL = "n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
-def _read_back(want: bytes, data: bytes) -> tuple:
-    sha = hashlib.sha256(data)
-    if sha.digest()[:KEY] != want:
-        raise ValueError("a stored payload differs from what was stored")
-    head = stored_header(len(data))
-    media = hashlib.sha256(head)
-    media.update(data)
-    return len(data.rstrip(PAD)), len(data), sha.digest(), zlib.crc32(data[-32:]), len(head) + len(data), media.digest(), features(data)
+def _read_back(want: bytes, media: bytes) -> tuple:
+    sha = hashlib.sha256(media).digest()
+    if sha[:KEY] != want:
+        raise ValueError("a stored file differs from what was stored")
+    data = samples(media)
+    return len(data.rstrip(PAD)), len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), len(media), sha, features(data)
 
 
 def _of_single(batches):
