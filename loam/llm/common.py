@@ -126,9 +126,14 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 _shipped: set[str] = set()
 
 
-def python_ready(spark: SparkSession, rows: int = 512) -> None:
-    """Before Python runs on executors: they get this package, and Arrow batches short enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bounds of an Arrow batch, the same for all plans, whenever they run: bytes, as texts and blobs are of any size, and rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Before Python runs on executors: they get this package, and Arrow batches of bounded bytes."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parents[1]

@@ -44,7 +44,7 @@ def components(links: DataFrame, small: int | None = None) -> DataFrame:
     edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     last, now = None, _mark(edges)
     if now[0] <= (SMALL if small is None else small):
-        python_ready(edges.sparkSession, 10_000)
+        python_ready(edges.sparkSession)
         return edges.coalesce(1).mapInArrow(_solved, "node long, label long")
     while last != now and now[0]:
         last = now

@@ -437,7 +437,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars", "n_blocks"],
             )
 
-    common.python_ready(pages.sparkSession, 256)
+    common.python_ready(pages.sparkSession)
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long")
 
 

@@ -175,6 +175,8 @@ def _stars(bits: int):
 def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
     """``fps`` (fp: long, distinct, a written table of n rows) to (u, v): links whose components are those of all links."""
     spark = fps.sparkSession
+    if n < 2:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).filter("false")
     # the least hashes: a uniform sample of bounded size that reruns agree on
     some = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     parts = design(np.array(some, np.int64).view(np.uint64), n, bits)
@@ -204,7 +206,7 @@ def links(fps: DataFrame, n: int, bits: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         i = index.join(blocks, ["p", "key"]).select("p", "key", "fp", F.lit(False).alias("probe"), mine.alias("i"), every.alias("j"))
         j = probes.join(blocks, ["p", "key"]).select("p", "key", "fp", F.lit(True).alias("probe"), mine.alias("j"), every.alias("i"))
-        common.python_ready(spark, 10_000)
+        common.python_ready(spark)
         stars = i.unionByName(j).groupBy("p", "key", "i", "j").applyInArrow(_stars(bits), "u long, v long")
         found = found.unionByName(stars)
     return found

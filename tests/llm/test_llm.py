@@ -518,7 +518,7 @@ CLASHING = ["_id", "_key", "_sha", "_kept", "_k", "_size", "_m", "_doc", "key",
 
 def test_stages_on_odd_rows(spark, odd, tmp_path):
     """Nulls, empty and long texts, repeats, repeated ids, and columns named as the stages' own."""
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.xxhash64("text", F.lit(c)).alias(c) for c in CLASHING])
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.xxhash64("text", "doc_id", "source", F.lit(c)).alias(c) for c in CLASHING])
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, before, SF).write.parquet(f"{tmp_path}/{name}")
