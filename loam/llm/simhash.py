@@ -302,7 +302,7 @@ def _of_band(shingle: int, least: float):
 
 
 #: Nodes that one task compares, at most; nodes of a large fingerprint class that all its blocks get, about.
-NODES, PIVOTS = 512, 8
+NODES, PIVOTS = 256, 8
 
 
 def _blocks(n: Column) -> Column:

@@ -174,7 +174,7 @@ def jaccard_classes(texts, least=0.8):
     return label
 
 
-@pytest.mark.parametrize("nodes", [512, 4])
+@pytest.mark.parametrize("nodes", [256, 4])
 def test_near_duplicates_by_jaccard(spark, monkeypatch, nodes):
     monkeypatch.setattr(simhash, "NODES", nodes)
     r, texts = random.Random(6), []
