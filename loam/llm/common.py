@@ -115,11 +115,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "zstd", level: int = 3) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -156,11 +156,12 @@ def lean() -> None:
 HOT_KEYS = 500
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], count: str | None, total: int) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], count: str | None, total: int, known: str | None = None) -> DataFrame:
     """Left join to ``right``, which has one row per ``key`` and in ``count`` the left rows of it (None: they are counted here).
 
     Fewer than HOT_KEYS keys can hold more than ``total / HOT_KEYS`` rows, so those go by broadcast, whatever
-    the size of the input, and their rows stay where they are; all other keys are shuffled.
+    the size of the input, and their rows stay where they are; all other keys are shuffled. ``known``: a column of ``left`` that has the number of
+    its key's rows, so that frequent keys without a row in ``right`` aren't shuffled either.
     """
     on = [key] if isinstance(key, str) else key
     bound = max(total // HOT_KEYS, 100)
@@ -171,6 +172,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], count:
         hot, rest = right.join(F.broadcast(often), on, "left_semi"), right
     cols = [c for c in right.columns if c not in (*on, count)]
     tagged = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot", *cols).join(rest, on, "left")
+    stays = F.col("_hot").isNotNull() | (F.col(known) > bound) if known else F.col("_hot").isNotNull()
+    cold = tagged.filter(~stays).drop("_hot", *cols).join(rest, on, "left")
     names = [*left.columns, *cols]
-    return tagged.filter(F.col("_hot").isNotNull()).select(*names).unionByName(cold.select(*names))
+    return tagged.filter(stays).select(*names).unionByName(cold.select(*names))

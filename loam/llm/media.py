@@ -131,7 +131,7 @@ def spool(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SPOOL, strict=True)], schema=_SPOOL)
 
     common.python_ready(docs.sparkSession)
-    return common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SPOOL_SQL), "spool")
+    return common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SPOOL_SQL), "spool", level=9)
 
 
 _READ = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])

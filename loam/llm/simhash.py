@@ -345,7 +345,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits:
     in_band = common.written(in_band.select("node", "label", "band", "all"), "in-bands")
     shares = in_band.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"))
     mixed = common.written(shares.filter("kinds > 1").select("band", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.c")).alias("others"), "n"), "mixed-bands")
-    rows = common.join_unique(in_band, mixed, "band", "n", n * jaccard.BANDS).filter("largest is not null")
+    rows = common.join_unique(in_band, mixed, "band", "n", n * jaccard.BANDS, "all").filter("largest is not null")
     few = F.col("label") != F.col("largest")
     place = lambda seed, k: F.pmod(F.xxhash64("node", F.lit(seed)), k).cast("int")
     rows = rows.select("node", "label", "band", few.alias("few"), _blocks(F.col("all")).alias("ka"), _blocks(F.col("others")).alias("kb"))

@@ -7,7 +7,7 @@ A word goes if a window of WINDOW consecutive words of its document covers it wh
    occurs in two classes or more can be covered; an anchor's windows of a document lie together and make a segment.
 3. Segments are dealt to shards by anchor. Each shard builds an FM-index of its distinct segments and streams them through it by backward
    search; where WINDOW words match, the interval's smallest document decides. Matches become intervals of words.
-4. A passage that very many documents hold gives anchors of very many segments. Those of more than HOT_ANCHOR segments are cut finer, into
+4. A passage that very many documents hold gives anchors of very many segments. Those of more segments than a bound are cut finer, into
    their single windows: equal ones are first put together by a 128-bit hash, in partial sums, and each that is left in two documents or more
    goes to a shard by its hash, where the same index finds its smallest document. So no shard gets a group that grows with the corpus.
 
@@ -31,9 +31,10 @@ from loam.llm.fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 10
-HOT_ANCHOR = 400
 #: Segments in a shard, about.
 SHARD_SEGMENTS = 8_000
+#: An anchor of more segments than its share of all is cut finer, but none of up to the first number, and all above the second, half a shard.
+HOT_ANCHOR, HOT_SHARE = (400, SHARD_SEGMENTS // 2), 1 / 300
 LAST = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,7 +192,7 @@ def kept_words(text: str | None, runs: list) -> list[bytes]:
     return [x for x, k in zip(w, np.cumsum(gone)[:-1].tolist(), strict=True) if not k]
 
 
-def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int, int] = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): every row's id, key, n_words, sha, its class's number of rows, and id and key of the class's first text (least, first); by id
     and key of such a text, the list of runs of words that go from it."""
     spark = docs.sparkSession
@@ -204,12 +205,13 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT
     mine = mine.select("id", "key", F.explode("anchors").alias("anchor"))
     seen = mine.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("key").alias("c"), F.max("key").alias("d"))
     again = common.written(seen.filter("a <> b OR c <> d").select("anchor", "n", F.col("n").alias("size")), "anchors")
-    segments = again.agg(F.sum(F.when(F.col("n") <= hot, F.col("n")).otherwise(0)), F.sum("n")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(segments[0] or 0) // shard_segments)
-    hits = common.join_unique(mine, again, "anchor", "size", int(segments[1] or 0)).filter("n is not null").groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
+    segments = int(again.agg(F.sum("n")).first()[0] or 0)
+    above = min(max(hot[0], int(segments * HOT_SHARE)), hot[1])
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments // shard_segments)
+    hits = common.join_unique(mine, again, "anchor", "size", segments).filter("n is not null").groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
     cand = _keyed(docs).join(hits, ["id", "key"])
     common.python_ready(spark)
-    segs = common.written(cand.mapInArrow(_segments(window, gram, shards, hot), _SEG_SQL), "segments")
+    segs = common.written(cand.mapInArrow(_segments(window, gram, shards, above), _SEG_SQL), "segments")
     dealt = segs.filter("shard >= 0")
     alone = segs.filter("shard < 0").select("w1", "w2", "id", "key", "at")
     kinds = alone.groupBy("w1", "w2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
@@ -257,7 +259,7 @@ def judged(docs: DataFrame, every: DataFrame, runs: DataFrame, window: int = WIN
     cols = ["n_removed", "kept_sha", *(["kept"] if text else [])]
     sizes = every.select("least", "first", "copies").distinct()
     done = done.select(F.col("id").alias("least"), F.col("key").alias("first"), *cols).join(sizes, ["least", "first"])
-    j = common.join_unique(every, done.withColumnRenamed("copies", "n"), ["least", "first"], "n", every.count())
+    j = common.join_unique(every, done.withColumnRenamed("copies", "n"), ["least", "first"], "n", every.count(), "copies")
     late = (F.col("id") > F.col("least")) & (F.col("n_words") >= window)
     j = j.withColumn("n_removed", F.when(late, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))))
     j = j.withColumn("kept_sha256", F.when(late, F.lit(EMPTY)).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha")))))

@@ -363,7 +363,7 @@ def test_index():
                 assert dict(zip(at.tolist(), least.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize(("window", "gram", "hot"), [(50, 10, 400), (12, 4, 400), (12, 4, 2)])
+@pytest.mark.parametrize(("window", "gram", "hot"), [(50, 10, (400, 4000)), (12, 4, (400, 4000)), (12, 4, (2, 2))])
 def test_substrings(odd, window, gram, hot):
     last, first = substrings.LAST, {}
     docs = [(last if i is None else i, words(t)) for i, t, *_ in rows()]
