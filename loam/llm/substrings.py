@@ -192,9 +192,9 @@ def kept_words(text: str | None, runs: list) -> list[bytes]:
     return [x for x, k in zip(w, np.cumsum(gone)[:-1].tolist(), strict=True) if not k]
 
 
-def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int, int] = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(rows, runs): every row's id, key, n_words, sha, its class's number of rows, and id and key of the class's first text (least, first); by id
-    and key of such a text, the list of runs of words that go from it."""
+def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int, int] = HOT_ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, candidates, runs): every row's id, key, n_words, sha, its class's number of rows, and id and key of the class's first text (least, first); id, key and
+    text of such texts that may lose words; by id and key of one, the list of runs of words that go from it."""
     spark = docs.sparkSession
     rows = common.written(sketch(docs, window, gram), "sketch")
     classes = rows.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("s"), F.count("*").alias("copies"))
@@ -209,7 +209,8 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int
     above = min(max(hot[0], int(segments * HOT_SHARE)), hot[1])
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments // shard_segments)
     hits = common.join_unique(mine, again, "anchor", "size", segments).filter("n is not null").groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("hits"))
-    cand = _keyed(docs).join(hits, ["id", "key"])
+    # written, as these few texts move again where words go
+    cand = common.written(_keyed(docs).join(hits, ["id", "key"]).dropDuplicates(["id", "key"]), "candidates")
     common.python_ready(spark)
     segs = common.written(cand.mapInArrow(_segments(window, gram, shards, above), _SEG_SQL), "segments")
     dealt = segs.filter("shard >= 0")
@@ -228,13 +229,13 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int
         late = common.join_unique(alone, first, ["w1", "w2"], "n", total).filter("id > least")
         runs = runs.unionByName(late.select("id", "key", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
     runs = runs.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return every, common.written(runs, "runs")
+    return every, cand.select("id", "key", "text"), common.written(runs, "runs")
 
 
 _CUT = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha", pa.binary()), ("kept", pa.string())])
 
 
-def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def cut(cand: DataFrame, runs: DataFrame) -> DataFrame:
     """Of each text with runs: id, key, n_removed, kept_sha and the words that stay."""
 
     def run(batches):
@@ -246,16 +247,16 @@ def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 out.append((i, key, len((text or "").encode().split()) - len(kept), hashlib.sha256(joined).digest(), joined.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, _CUT, strict=True)], schema=_CUT)
 
-    common.python_ready(docs.sparkSession)
-    return _keyed(docs).join(runs, ["id", "key"]).dropDuplicates(["id", "key"]).mapInArrow(run, "id long, key long, n_removed long, kept_sha binary, kept string")
+    common.python_ready(cand.sparkSession)
+    return cand.join(runs, ["id", "key"]).mapInArrow(run, "id long, key long, n_removed long, kept_sha binary, kept string")
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def judged(docs: DataFrame, every: DataFrame, runs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
+def judged(every: DataFrame, cand: DataFrame, runs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
     """``every`` with n_removed, kept_sha256 and, if asked for, the kept words where any went."""
-    done = common.written(cut(docs, runs), "cut")
+    done = common.written(cut(cand, runs), "cut")
     cols = ["n_removed", "kept_sha", *(["kept"] if text else [])]
     sizes = every.select("least", "first", "copies").distinct()
     done = done.select(F.col("id").alias("least"), F.col("key").alias("first"), *cols).join(sizes, ["least", "first"])
@@ -268,13 +269,13 @@ def judged(docs: DataFrame, every: DataFrame, runs: DataFrame, window: int = WIN
 
 
 def op9_substrings(docs: DataFrame) -> DataFrame:
-    return judged(docs, *find(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return judged(*find(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the words that go removed from their texts (then joined by spaces); texts that keep all their words stay as they
     are, and documents that keep none go. ``n_chars``, if there, is counted again."""
-    rows = judged(docs, *find(docs), text=True).filter("n_removed > 0").select("id", "key", "kept")
+    rows = judged(*find(docs), text=True).filter("n_removed > 0").select("id", "key", "kept")
     changed = common.written(rows.dropDuplicates(["id", "key"]), "changed")
     mine = common.boxed(docs, id=_id(), key=F.xxhash64("text")).join(changed, ["id", "key"], "left").filter(F.col("kept").isNull() | (F.col("kept") != ""))
     new = {"text": F.coalesce("kept", F.col("_doc.text"))}
