@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import extraction, idfile, katz, media, mixing, packing, quality, simhash, substrings, toxicity
+from loam.llm import conversations, extraction, idfile, katz, media, mixing, negatives, packing, quality, simhash, substrings, toxicity, warc
 from loam.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def _of_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
     return lambda spark, sf_dir: f(documents(spark, sf_dir))
 
 
+def _of(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -29,9 +33,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_katz": _of_documents(katz.op7_katz),
         "op8_token_ids": _of_documents(idfile.op8_token_ids),
         "op9_substrings": _of_documents(substrings.op9_substrings),
-        "op10_extraction": lambda spark, sf_dir: extraction.op10_extraction(spark.read.parquet(f"{sf_dir}/pages.parquet")),
+        "op10_extraction": _of("pages", extraction.op10_extraction),
+        "op11_prefix_trie": _of("conversations", conversations.op11_prefix_trie),
+        "op12_warc": _of("pages", warc.op12_warc),
+        "op13_hard_negatives": _of("embeddings", negatives.op13_hard_negatives),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op11_prefix_trie": conversations.OP11_SQL,
+        "op12_warc": warc.OP12_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
+    }
