@@ -194,7 +194,8 @@ def _blocks(table: DataFrame, anchors: Column, size: int):
     """The anchors, a file of at most ``size`` rows at a time."""
     path = f"{shared_dir(table.sparkSession)}/loam/anchors-{uuid.uuid4().hex}"
     spark = table.sparkSession
-    table.filter(anchors).coalesce(8).write.option("maxRecordsPerFile", size).parquet(path)
+    rows = table.filter(anchors)
+    rows.repartition(max(1, -(-rows.count() // size))).write.option("maxRecordsPerFile", size).parquet(path)
     held = spark.read.schema(table.schema).parquet(path)
     for file in sorted(held.inputFiles()):
         got = spark.read.schema(table.schema).parquet(file).toArrow()
