@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 import tempfile
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.config import Dedup
+from loam.config import checked_near
 from loam.functions import text as T
 
 PRIME = (1 << 31) - 1
@@ -31,26 +32,26 @@ def exact(docs: DataFrame) -> DataFrame:
     return docs.join(least, "sha")
 
 
-def permutations(d: Dedup, prime: int = PRIME) -> list[tuple[int, int]]:
-    r = random.Random(d.seed)
-    return [(r.randrange(1, prime), r.randrange(0, prime)) for _ in range(d.num_perm)]
+def permutations(d: Mapping, prime: int = PRIME) -> list[tuple[int, int]]:
+    r = random.Random(d["seed"])
+    return [(r.randrange(1, prime), r.randrange(0, prime)) for _ in range(d["num_perm"])]
 
 
-def signatures(sh: DataFrame, d: Dedup) -> DataFrame:
+def signatures(sh: DataFrame, d: Mapping) -> DataFrame:
     """``sh`` (ord, shingles) to (ord, sig). Minima combine within each task; a text of no shingles has all primes."""
     x = F.pmod(F.col("h"), F.lit(PRIME))
     mins = [F.coalesce(F.min(F.pmod(x * a + b, F.lit(PRIME))), F.lit(PRIME).cast("long")) for a, b in permutations(d)]
     return sh.select("ord", F.explode_outer("shingles").alias("h")).groupBy("ord").agg(F.array(*mins).alias("sig"))
 
 
-def bands(sig: DataFrame, d: Dedup) -> DataFrame:
-    rows = d.num_perm // d.bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(d.bands - 1)), lambda i: T.portable_hash(F.array_join(F.slice(F.col("sig"), i * rows + 1, rows), ",")))
+def bands(sig: DataFrame, d: Mapping) -> DataFrame:
+    rows = d["num_perm"] // d["bands"]
+    keys = F.transform(F.sequence(F.lit(0), F.lit(d["bands"] - 1)), lambda i: T.portable_hash(F.array_join(F.slice(F.col("sig"), i * rows + 1, rows), ",")))
     return sig.select("ord", F.posexplode(keys).alias("band", "key"))
 
 
-def candidates(sig: DataFrame, d: Dedup) -> DataFrame:
-    """Distinct pairs (l, r), l < r, that share a band."""
+def candidates(sig: DataFrame, d: Mapping) -> DataFrame:
+    """Distinct pairs (l, r), l < r, that share a band: all of them, for looking at. ``greedy`` needs far fewer."""
     b = bands(sig, d)
     return b.alias("a").join(b.alias("b"), F.expr("a.band = b.band AND a.key = b.key AND a.ord < b.ord")).select(F.col("a.ord").alias("l"), F.col("b.ord").alias("r")).distinct()
 
@@ -64,43 +65,94 @@ def pairs(sh: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
     """The candidates whose Jaccard similarity is the threshold or more: l, r, both, all."""
     a, b = sh.select(F.col("ord").alias("l"), F.col("shingles").alias("a")), sh.select(F.col("ord").alias("r"), F.col("shingles").alias("b"))
     both, every = jaccard(F.col("a"), F.col("b"))
-    j = cand.join(a, "l").join(b, "r").select("l", "r", both.alias("both"), every.alias("all"))
+    # sets whose sizes are too far apart can't have the similarity, and needn't be compared
+    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+    near_sized = cand.join(a, "l").join(b, "r").filter(small >= threshold * large)
+    j = near_sized.select("l", "r", both.alias("both"), every.alias("all"))
     return j.filter((F.col("all") == 0) | (F.col("both") >= threshold * F.col("all")))
 
 
-def accepted_in_order(edges: DataFrame) -> DataFrame:
+def accepted_in_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Of nodes with edges (l < r), (node, ok) as if taken in order, each unless one taken before is its neighbour.
 
-    Each round settles all nodes whose earlier neighbours are settled enough; nodes without edges aren't here.
+    Each round settles all nodes whose earlier neighbours are settled enough. ``nodes`` (node, known), if given, are the nodes; one that isn't
+    known may have earlier neighbours that aren't among the edges, so it can be refused but not taken, and may end as null.
     """
-    nodes = edges.select(F.col("l").alias("node")).union(edges.select("r")).distinct()
-    state = settled(nodes.withColumn("ok", F.lit(None).cast("boolean")))
+    if nodes is None:
+        nodes = edges.select(F.col("l").alias("node")).union(edges.select("r")).distinct().withColumn("known", F.lit(True))
     edges = settled(edges.select("l", "r"))
-    while state.filter("ok IS NULL").head(1):
+    state = settled(nodes.select("node", "known", F.lit(None).cast("boolean").alias("ok")))
+    left, before = state.filter("ok IS NULL").count(), None
+    while left and left != before:
         seen = edges.join(state.select(F.col("node").alias("l"), "ok"), "l").groupBy(F.col("r").alias("node")).agg(
             F.max(F.when(F.col("ok"), 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("ok").isNull(), 1).otherwise(0)).alias("open")
         )
-        new = F.when(F.col("hit") == 1, F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = settled(state.join(seen, "node", "left").select("node", F.coalesce("ok", new).alias("ok")))
-    return state
+        new = F.when(F.col("hit") == 1, F.lit(False)).when(F.col("known") & (F.coalesce("open", F.lit(0)) == 0), F.lit(True))
+        state = settled(state.join(seen, "node", "left").select("node", "known", F.coalesce("ok", new).alias("ok")))
+        before, left = left, state.filter("ok IS NULL").count()
+    return state.select("node", "ok")
 
 
-def near(docs: DataFrame, d: Dedup) -> DataFrame:
+#: Nodes of a bucket that its others are compared with in the first round; twice as many in each one after.
+HEADS = 16
+
+
+def greedy(sh: DataFrame, d: Mapping, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
+    """``sh`` (ord, shingles), no two sets equal, to the nodes that share a band with another (node, ok) and buckets (band, key, ord).
+
+    Taken in order of ord, each is ok unless one that is ok before it shares a band and has the similarity. In each round the first few undecided
+    nodes of a bucket, its heads, are compared with the rest of it: a row per member and head, never all pairs. A node that is head in all its
+    buckets can be taken; what is like a taken node is refused. So a bucket of copies is done in a round, linear in its size; one of g texts that are
+    all unlike takes log2(g / heads) rounds and its g^2 / 2 comparisons, as the loop does that takes one text after the other.
+    """
+    b = bands(settled(signatures(sh, d)), d)
+    shared = b.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = settled(b.join(shared, ["band", "key"]))
+    open_ = settled(buckets.select("ord").distinct())
+    done = []
+    while open_.head(1):
+        now = buckets.join(open_, "ord")
+        rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("ord"))
+        first = settled(now.withColumn("k", rank).filter(F.col("k") <= heads).select("band", "key", F.col("ord").alias("l")))
+        cand = now.join(first, ["band", "key"]).filter("l < ord").select("l", F.col("ord").alias("r")).distinct()
+        edges = pairs(sh, cand, d["jaccard_threshold"])
+        head_in = first.groupBy(F.col("l").alias("node")).agg(F.count("*").alias("n"))
+        nodes = now.groupBy(F.col("ord").alias("node")).agg(F.count("*").alias("m")).join(head_in, "node", "left").select("node", (F.coalesce("n", F.lit(0)) == F.col("m")).alias("known"))
+        state = accepted_in_order(edges, nodes)
+        done.append(state.filter("ok IS NOT NULL"))
+        open_ = settled(state.filter("ok IS NULL").select(F.col("node").alias("ord")))
+        heads *= 2
+    none = buckets.limit(0).select(F.col("ord").alias("node"), F.lit(True).alias("ok"))
+    for x in done:
+        none = none.unionByName(x)
+    return none, buckets
+
+
+def near(docs: DataFrame, d: Mapping, heads: int = HEADS) -> DataFrame:
     """``docs`` (ord, sha, words: array) to (ord, verdict, duplicate_of, jaccard): accepted, exact_duplicate or near_duplicate.
 
-    Copies share one representative's shingles. A copy of one that was itself rejected is a near duplicate of the best one accepted before it.
+    Texts of equal content share one's shingles, and those of equal shingle sets one set: only the first of them can be accepted, and all that is
+    compared is sets. One that is refused is a near duplicate of the best one accepted before it; a copy of an accepted one is an exact duplicate.
     """
+    checked_near(d)
     all_ = settled(exact(docs.select("ord", "sha")))
-    reps = docs.join(all_.filter("ord = first").select("ord"), "ord").select("ord", T.shingles(F.col("words"), d.shingle).alias("shingles"))
-    reps = settled(reps)
-    edges = settled(pairs(reps, candidates(signatures(reps, d), d), d.threshold))
-    state = accepted_in_order(edges)
-    bad = state.filter("NOT ok").select(F.col("node").alias("first"))
-    ok = state.filter("ok").select(F.col("node").alias("kept"))
-    both = edges.select(F.col("r").alias("first"), F.col("l").alias("kept"), "both", "all").union(edges.select("l", "r", "both", "all"))
-    match = all_.join(bad, "first").join(both.join(ok, "kept"), "first").filter("kept < ord")
-    match = match.withColumn("j", F.when(F.col("all") == 0, F.lit(1.0)).otherwise(F.col("both") / F.col("all")))
-    best = match.groupBy("ord").agg(F.max(F.struct(F.col("j"), (-F.col("kept")).alias("k"))).alias("m"))
-    out = all_.join(best, "ord", "left")
+    firsts = docs.join(all_.filter("ord = first").select("ord"), "ord").select("ord", T.shingles(F.col("words"), d["shingle_size"]).alias("shingles"))
+    firsts = settled(firsts.withColumn("set", F.sha2(F.array_join(F.array_sort("shingles").cast("array<string>"), ","), 256)))
+    least = firsts.groupBy("set").agg(F.min("ord").alias("node"))
+    sets = settled(firsts.select("ord", "set").join(least, "set").select(F.col("ord").alias("first"), "node"))
+    reps = settled(firsts.join(sets.filter("first = node").select(F.col("first").alias("ord")), "ord").select("ord", "shingles"))
+    state, buckets = greedy(reps, d, heads)
+    state = settled(state)
+    # of a refused set, the accepted ones of its buckets
+    kept = buckets.join(state.filter("ok").select(F.col("node").alias("ord")), "ord").withColumnRenamed("ord", "l")
+    lost = buckets.join(state.filter("NOT ok").select(F.col("node").alias("ord")), "ord").withColumnRenamed("ord", "r")
+    like = pairs(reps, kept.join(lost, ["band", "key"]).select("l", "r").distinct(), d["jaccard_threshold"])
+    like = like.select(F.col("r").alias("node"), F.col("l").alias("kept"), F.when(F.col("all") == 0, F.lit(1.0)).otherwise(F.col("both") / F.col("all")).alias("j"))
+    members = settled(all_.join(sets, "first").join(state, "node", "left").select("ord", "first", "node", F.coalesce("ok", F.lit(True)).alias("ok")))
+    refused = members.filter("NOT ok").join(like, "node").filter("kept < ord")
+    # texts of an accepted set that aren't copies of its first text
+    same = members.filter("ok AND first <> node").select("ord", F.col("node").alias("kept"), F.lit(1.0).alias("j"))
+    best = refused.select("ord", "kept", "j").unionByName(same).groupBy("ord").agg(F.max(F.struct(F.col("j"), (-F.col("kept")).alias("k"))).alias("m"))
+    out = members.join(best, "ord", "left")
     verdict = F.when(F.col("m").isNotNull(), "near_duplicate").when(F.col("ord") == F.col("first"), "accepted").otherwise("exact_duplicate")
     return out.select("ord", verdict.alias("verdict"), F.when(F.col("m").isNotNull(), -F.col("m.k")).when(F.col("ord") != F.col("first"), F.col("first")).alias("duplicate_of"), F.round("m.j", 6).alias("jaccard"))

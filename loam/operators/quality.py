@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.config import Quality
+from loam.config import Limit
 from loam.functions import text as T
 
 
@@ -29,25 +31,35 @@ def metrics(c: Column) -> Column:
     return T.let(T.filled(c), lambda t: T.let(T.word_tokens(t), lambda w: of(w, t)))
 
 
-def reasons(m: Column, q: Quality) -> Column:
-    """All limits that are broken, in a fixed order; being on a limit is fine."""
-    return T.let(m, lambda x: _broken(x, q))
+def reasons(m: Column, limits: tuple[Limit, ...]) -> Column:
+    """The reasons of all limits that are broken, in their order; being on a limit is fine."""
 
+    def broken(x: Column) -> Column:
+        beyond = {"<": lambda v, bound: v < bound, ">": lambda v, bound: v > bound}
+        return F.array_compact(F.array(*[F.when(beyond[side](x[measure], bound), F.lit(reason)) for reason, measure, side, bound, _ in limits]))
 
-def _broken(m: Column, q: Quality) -> Column:
-    tests = (
-        ("too_short", m["words"] < q.min_words),
-        ("too_long", m["words"] > q.max_words),
-        ("low_alpha_word_fraction", m["alpha_word_fraction"] < q.min_alpha_fraction),
-        ("high_symbol_ratio", m["symbol_to_word_ratio"] > q.max_symbol_ratio),
-        ("median_word_too_short", m["median_word_length"] < q.min_median_length),
-        ("median_word_too_long", m["median_word_length"] > q.max_median_length),
-        ("excess_duplicate_lines", m["duplicate_line_fraction"] > q.max_duplicate_lines),
-    )
-    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in tests]))
+    return T.let(m, broken)
 
 
 def with_missing_id(found: Column, *ids: Column) -> Column:
     """``found`` and a reason for rows of which no identifier is set."""
     given = F.coalesce(*[F.nullif(T.strip(T.filled(i)), F.lit("")) for i in ids])
     return F.when(given.isNull(), F.array_append(found, "missing_identifier")).otherwise(found)
+
+
+def first_accepted(docs: DataFrame, n: int, accept: Callable[[DataFrame], DataFrame], step: int | None = None) -> DataFrame:
+    """The first ``n`` rows by ``ord`` of those that ``accept`` returns of ``docs``, reading no more of it than that takes.
+
+    Ranges of ord are judged in order, each twice as wide as the one before, until there are enough; their bounds are pushed down to the files. Rows
+    without an ord have no place in the order and aren't taken.
+    """
+    from loam.operators.dedup import settled
+
+    low, high = docs.agg(F.min("ord"), F.max("ord")).first()
+    out, found, width = accept(docs.limit(0)), 0, step or 4 * n
+    while low is not None and low <= high and found < n:
+        part = settled(accept(docs.filter(F.col("ord").between(low, low + width - 1))))
+        found += part.count()
+        out = out.unionByName(part)
+        low, width = low + width, 2 * width
+    return out.orderBy("ord").limit(n)

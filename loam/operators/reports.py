@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.config import Readiness, Split
+from loam.config import SPLIT
 from loam.functions import text as T
 from loam.operators import classify, cleaning
 
@@ -58,7 +60,7 @@ def build_report(selected: DataFrame) -> DataFrame:
 
 def scan_stats(staged: DataFrame) -> DataFrame:
     ok = F.col("stage") == "accepted"
-    split = classify.split_of(F.col("doc_id").cast("string"), Split())
+    split = classify.split_of(F.col("doc_id").cast("string"), SPLIT)
     pair = lambda k, v: F.struct(k.alias("item"), v.cast("long").alias("n"))
     named = lambda p, c: F.when(ok, pair(F.concat(F.lit(p), c), F.lit(1)))
     items = F.array(
@@ -70,18 +72,18 @@ def scan_stats(staged: DataFrame) -> DataFrame:
 
 # fixed values: what the gate says of each check that fails
 MESSAGES = (
-    ("enough_documents", "Need at least {min_documents:,} selected documents; found {found}."),
-    ("robotics_representation", "Need robotics fraction >= {min_robotics:.0%}; found {found}."),
-    ("neurotechnology_representation", "Need neurotechnology fraction >= {min_neurotechnology:.0%}; found {found}."),
-    ("combined_technology_representation", "Need robotics + neurotechnology >= {min_technology:.0%}; found {found}."),
-    ("validation_size", "Need at least {min_val:,} validation documents; found {found}."),
-    ("test_size", "Need at least {min_test:,} test documents; found {found}."),
-    ("cleaning_not_excessive", "Cleaning statistics are missing or the cleaner removed more than {max_removed:.0%} of source characters."),
+    ("enough_documents", "Need at least {bound:,} selected documents; found {found}."),
+    ("robotics_representation", "Need robotics fraction >= {bound:.0%}; found {found}."),
+    ("neurotechnology_representation", "Need neurotechnology fraction >= {bound:.0%}; found {found}."),
+    ("combined_technology_representation", "Need robotics + neurotechnology >= {bound:.0%}; found {found}."),
+    ("validation_size", "Need at least {bound:,} validation documents; found {found}."),
+    ("test_size", "Need at least {bound:,} test documents; found {found}."),
+    ("cleaning_not_excessive", "Cleaning statistics are missing or the cleaner removed more than {bound:.0%} of source characters."),
 )
 
 
-def readiness(selected: DataFrame, cleaning_sums: DataFrame, r: Readiness) -> DataFrame:
-    """One row: checks (struct), metrics (struct), ready, reasons (of the checks that fail, in order)."""
+def readiness(selected: DataFrame, cleaning_sums: DataFrame, gate: Mapping[str, float]) -> DataFrame:
+    """One row: checks (struct), metrics (struct), ready, reasons (of the checks that fail, in order). ``gate``: each check's bound."""
     n = lambda c: F.count(F.when(c, 1))
     a = selected.agg(
         F.count("*").alias("selected"), n(F.col("category") == "robotics").alias("robotics"), n(F.col("category") == "neurotechnology").alias("neuro"),
@@ -94,24 +96,28 @@ def readiness(selected: DataFrame, cleaning_sums: DataFrame, r: Readiness) -> Da
     whole = lambda c: F.format_number(F.col(c), 0)
     percent = lambda c: F.format_string("%.1f%%", 100 * c)
     documents = lambda share, c: F.concat(percent(share), F.lit(" ("), whole(c), F.lit(" documents)"))
-    checks = (
-        (F.col("selected") >= r.min_documents, whole("selected")), (robotics >= r.min_robotics, documents(robotics, "robotics")),
-        (neuro >= r.min_neurotechnology, documents(neuro, "neuro")), (tech >= r.min_technology, percent(tech)),
-        (F.col("val") >= r.min_val, whole("val")), (F.col("test") >= r.min_test, whole("test")),
-        ((F.coalesce("original_chars", F.lit(0)) > 0) & (removed <= r.max_removed), F.lit("")),
-    )
-    named = F.struct(*[c.alias(k) for (k, _), (c, _) in zip(MESSAGES, checks, strict=True)])
+    checks = {  # what is measured, whether it must be the bound at least or at most, and how it is said
+        "enough_documents": (F.col("selected"), True, whole("selected")),
+        "robotics_representation": (robotics, True, documents(robotics, "robotics")),
+        "neurotechnology_representation": (neuro, True, documents(neuro, "neuro")),
+        "combined_technology_representation": (tech, True, percent(tech)),
+        "validation_size": (F.col("val"), True, whole("val")),
+        "test_size": (F.col("test"), True, whole("test")),
+        "cleaning_not_excessive": (F.when(F.col("original_chars") > 0, removed).otherwise(F.lit(float("inf"))), False, F.lit("")),
+    }
+    holds = {k: found >= gate[k] if least else found <= gate[k] for k, (found, least, _) in checks.items()}
+    named = F.struct(*[holds[k].alias(k) for k, _ in MESSAGES])
     metrics = F.struct(
         F.col("selected").alias("selected_documents"), F.col("robotics").alias("robotics_documents"), F.col("neuro").alias("neurotechnology_documents"),
         robotics.alias("robotics_fraction"), neuro.alias("neurotechnology_fraction"), tech.alias("combined_technology_fraction"),
         F.col("val").alias("validation_documents"), F.col("test").alias("test_documents"), removed.alias("cleaning_removed_fraction"),
     )
 
-    def said(message: str, found: Column) -> Column:
-        before, mark, after = message.format(found="\0", **r.__dict__).partition("\0")
-        return F.concat(F.lit(before), found, F.lit(after)) if mark else F.lit(before)
+    def said(check: str, message: str) -> Column:
+        before, mark, after = message.format(bound=gate[check], found="\0").partition("\0")
+        return F.concat(F.lit(before), checks[check][2], F.lit(after)) if mark else F.lit(before)
 
-    why = F.array_compact(F.array(*[F.when(~c, said(m, found)) for (_, m), (c, found) in zip(MESSAGES, checks, strict=True)]))
+    why = F.array_compact(F.array(*[F.when(~holds[k], said(k, m)) for k, m in MESSAGES]))
     return x.select(named.alias("checks"), metrics.alias("metrics"), (F.size(why) == 0).alias("ready"), why.alias("reasons"))
 
 

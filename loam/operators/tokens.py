@@ -1,4 +1,4 @@
-"""Token streams: encoding, fixed blocks, random windows, byte-pair merges."""
+"""Token streams: encoding, fixed blocks, random windows."""
 
 from __future__ import annotations
 
@@ -90,27 +90,3 @@ def random_windows(cut: DataFrame, ctx: int, n: int, seed: int) -> DataFrame:
     want = starts.select("i", "start", F.explode(F.array(F.floor(F.col("start") / ctx), F.floor(F.col("start") / ctx) + 1)).alias("block"))
     got = cut.join(F.broadcast(want), "block").groupBy("i", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"])).alias("t"))
     return got.select("i", "start", F.md5(F.array_join(F.slice("t", (F.col("start") % ctx + 1).cast("int"), ctx).cast("array<string>"), ",")).alias("digest"))
-
-
-def bpe_merges(docs: DataFrame, n: int) -> DataFrame:
-    """The first n byte-pair merges over word counts: (step, left, right, n). Each step is an aggregation; the driver sees its winner only."""
-    from loam.operators.dedup import settled
-
-    spark = docs.sparkSession
-    w = docs.select(F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    w = settled(w.select("c", F.split("w", "").alias("p")).select("c", F.array_remove("p", "").alias("p")))
-    out = []
-    for step in range(n):
-        pairs = w.filter(F.size("p") > 1).select("c", F.explode(F.arrays_zip(F.expr("slice(p, 1, size(p) - 1)").alias("l"), F.expr("slice(p, 2, size(p) - 1)").alias("r"))).alias("z"))
-        best = pairs.groupBy("z").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "z").first()
-        if best is None:
-            break
-        left, right = best["z"]["l"], best["z"]["r"]
-        out.append((step, left, right, best["n"]))
-        sep = "\u0001"
-        joined = F.concat(F.lit(sep), F.array_join("p", sep * 2), F.lit(sep))
-        both = F.replace(joined, F.lit(f"{sep}{left}{sep}{sep}{right}{sep}"), F.lit(f"{sep}{left}{right}{sep}"))
-        w = w.select("c", F.split(F.regexp_replace(both, f"^{sep}|{sep}$", ""), sep * 2).alias("p"))
-        if step % 5 == 4:
-            w = settled(w)
-    return spark.createDataFrame(out, "step long, left string, right string, n long")

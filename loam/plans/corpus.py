@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from loam import config as C
 from loam.functions import text as T
-from loam.operators import classify, dedup, instructions, quality, reports, tokens
+from loam.operators import bpe, classify, dedup, instructions, quality, reports, tokens
 from loam.plans import duck as D
 from loam.plans import texts as X
 from loam.plans.registry import query
 from loam.sources import articles
 
-DEDUP = C.Dedup()
+DEDUP = C.NEAR
 # fixed values: small dimensions of the discovery queries
 TOPICS = {"a": 2.0, "b": 1.5, "c": 1.0}
 
@@ -66,25 +66,31 @@ def _(spark, sf):
     return articles.merge_found(found(spark, sf), TOPICS).orderBy(F.desc("score"), "id").limit(25).select("id", "score")
 
 
-_PASS = f"{D.NORM}, {D.metrics()}, q AS (SELECT *, {D.reasons(C.TEST_QUALITY)} AS rs FROM m), p AS (SELECT doc_id AS ord, source, lang, t, words, chars, sha256(t) AS sha FROM q WHERE len(rs) = 0)"
+_PASS = f"{D.NORM}, {D.metrics()}, q AS (SELECT *, {D.reasons(C.TEST_LIMITS)} AS rs FROM m), p AS (SELECT doc_id AS ord, source, lang, t, words, chars, sha256(t) AS sha FROM q WHERE len(rs) = 0)"
 
 
 @query("early_stop", f"WITH {_PASS} SELECT ord AS doc_id FROM p QUALIFY row_number() OVER (ORDER BY ord) <= 100")
 def _(spark, sf):
-    return scored(spark, sf).filter("size(rs) = 0").orderBy("ord").limit(100).select(F.col("ord").alias("doc_id"))
+    accepted = lambda d: judged(d).filter("size(rs) = 0").select("ord")
+    return quality.first_accepted(X.docs(spark, sf).withColumnRenamed("doc_id", "ord"), 100, accepted).select(F.col("ord").alias("doc_id"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    n = X.normalised(spark, sf)
-    both = T.let(quality.metrics(F.col("t")), lambda m: F.struct(m.alias("m"), quality.with_missing_id(quality.reasons(m, C.TEST_QUALITY), F.col("ord").cast("string")).alias("rs")))
-    return X.once(n.select(F.col("doc_id").alias("ord"), "source", "lang", "t"), both)
+    return judged(X.docs(spark, sf).withColumnRenamed("doc_id", "ord"))
 
 
-@query("missing_identifier", f"""WITH {D.NORM}, {D.metrics()}, q AS (SELECT doc_id, {D.reasons(C.TEST_QUALITY)} AS rs FROM m)
+def judged(docs: DataFrame) -> DataFrame:
+    """``docs`` (ord, source, lang, text) normalised (t), measured (m) and with the reasons against each (rs)."""
+    n = docs.select("ord", "source", "lang", T.normalise_text(F.col("text")).alias("t"))
+    both = T.let(quality.metrics(F.col("t")), lambda m: F.struct(m.alias("m"), quality.with_missing_id(quality.reasons(m, C.TEST_LIMITS), F.col("ord").cast("string")).alias("rs")))
+    return X.once(n, both)
+
+
+@query("missing_identifier", f"""WITH {D.NORM}, {D.metrics()}, q AS (SELECT doc_id, {D.reasons(C.TEST_LIMITS)} AS rs FROM m)
 SELECT doc_id, array_to_string(CASE WHEN doc_id % 7 = 0 THEN list_append(rs, 'missing_identifier') ELSE rs END, ',') AS reasons FROM q""")
 def _(spark, sf):
     given = F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.col("doc_id").cast("string"))
-    found = quality.with_missing_id(quality.reasons(quality.metrics(F.col("t")), C.TEST_QUALITY), given)
+    found = quality.with_missing_id(quality.reasons(quality.metrics(F.col("t")), C.TEST_LIMITS), given)
     return X.normalised(spark, sf).select("doc_id", F.array_join(found, ",").alias("reasons"))
 
 
@@ -104,7 +110,7 @@ sh AS (SELECT DISTINCT ord, ('0x' || substr(md5(array_to_string(w[i:i + 4], ' ')
 def shingled(spark: SparkSession, sf: str) -> DataFrame:
     p = dedup.settled(passed(spark, sf).select("ord", "sha", "words"))
     first = dedup.exact(p.select("ord", "sha")).filter("ord = first").select("ord")
-    return p.join(first, "ord").select("ord", T.shingles(F.col("words"), DEDUP.shingle).alias("shingles"))
+    return p.join(first, "ord").select("ord", T.shingles(F.col("words"), DEDUP["shingle_size"]).alias("shingles"))
 
 
 @query("word_shingles", f"WITH {_PASS}, {_SH} SELECT ord AS doc_id, count(*)::BIGINT AS n, min(h) AS least, bit_xor(h) AS mixed FROM sh GROUP BY ord")
@@ -136,7 +142,7 @@ e AS (SELECT x.ord AS l, y.ord AS r, count(*) AS inter, any_value(a.k + b.k) - c
 @query("jaccard_pairs", f"WITH {_PASS}, {_SH}, {_EDGES} SELECT l, r, round(inter / \"all\", 6) AS jaccard FROM e")
 def _(spark, sf):
     sh = dedup.settled(shingled(spark, sf))
-    got = dedup.pairs(sh, dedup.candidates(dedup.settled(dedup.signatures(sh, DEDUP)), DEDUP), DEDUP.threshold)
+    got = dedup.pairs(sh, dedup.candidates(dedup.settled(dedup.signatures(sh, DEDUP)), DEDUP), DEDUP["jaccard_threshold"])
     return got.select("l", "r", F.round(F.col("both") / F.col("all"), 6).alias("jaccard"))
 
 
@@ -170,7 +176,7 @@ def curated(spark: SparkSession, sf: str) -> DataFrame:
     p = s.filter("size(rs) = 0").select("ord", T.content_hash(F.col("t")).alias("sha"), T.word_tokens(F.col("t")).alias("words"))
     v = dedup.near(p, DEDUP)
     why = F.when(F.size("rs") > 0, F.array_join("rs", ",")).when(F.col("verdict") != "accepted", F.col("verdict")).otherwise("")
-    split = F.when(why == "", classify.split_of(F.col("ord").cast("string"), C.Split()))
+    split = F.when(why == "", classify.split_of(F.col("ord").cast("string"), C.SPLIT))
     got = s.join(v, "ord", "left")
     return got.select(F.col("ord").alias("doc_id"), "source", "lang", F.col("m.words").cast("long").alias("words"), F.col("m.chars").cast("long").alias("chars"), why.alias("reasons"), "duplicate_of", "jaccard", split.alias("split"))
 
@@ -198,7 +204,7 @@ def _(spark, sf):
 
 @query("hash_split", f"SELECT doc_id, {D.split('doc_id')} AS split FROM documents")
 def _(spark, sf):
-    return X.docs(spark, sf).select("doc_id", classify.split_of(F.col("doc_id").cast("string"), C.Split()).alias("split"))
+    return X.docs(spark, sf).select("doc_id", classify.split_of(F.col("doc_id").cast("string"), C.SPLIT).alias("split"))
 
 
 @query("output_shuffle", "SELECT doc_id, sha256('9:' || doc_id) AS place FROM documents")
@@ -279,7 +285,7 @@ def _(spark, sf):
 @query("build_report", f"""WITH {_MIX}, s AS (SELECT *, {D.split('id')} AS split FROM mx) SELECT coalesce('split:' || split, 'category:' || category, 'source:' || source, 'selected') AS item, count(*)::BIGINT AS n
  FROM s GROUP BY GROUPING SETS ((split), (category), (source), ())""")
 def _(spark, sf):
-    m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.Split()))
+    m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.SPLIT))
     return reports.build_report(m)
 
 
@@ -294,12 +300,12 @@ def _(spark, sf):
  CASE WHEN NOT validation_size THEN format('Need at least 100 validation documents; found {{:,}}.', v) END, CASE WHEN NOT test_size THEN format('Need at least 100 test documents; found {{:,}}.', te) END,
  CASE WHEN NOT cleaning_not_excessive THEN 'Cleaning statistics are missing or the cleaner removed more than 30% of source characters.' END], lambda x: x IS NOT NULL), chr(10)) AS reasons, enough_documents AND robotics_representation AND neurotechnology_representation AND combined_technology_representation AND validation_size AND test_size AND cleaning_not_excessive AS ready FROM f""")
 def _(spark, sf):
-    m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.Split()))
+    m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.SPLIT))
     c = X.cleaned(spark, sf).agg(F.sum("c.original_chars").alias("original_chars"), F.sum("c.removed_chars").alias("removed_chars"))
-    return reports.readiness(m, c, C.Readiness()).select("checks.*", "ready", F.array_join("reasons", "\n").alias("reasons"))
+    return reports.readiness(m, c, C.GATE).select("checks.*", "ready", F.array_join("reasons", "\n").alias("reasons"))
 
 
-@query("scan_stats", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, words, {X.LICENCE_SQL} AS licence, {D.category('t', C.TEST_TOPICS)} AS category, {D.reasons(C.HOSTED_QUALITY)} AS rs FROM m),
+@query("scan_stats", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, words, {X.LICENCE_SQL} AS licence, {D.category('t', C.TEST_TOPICS)} AS category, {D.reasons(C.HOSTED_LIMITS)} AS rs FROM m),
  a AS (SELECT *, {D.split('doc_id')} AS split FROM s WHERE licence IS NOT NULL AND category IS NOT NULL AND len(rs) = 0),
  r AS (SELECT 'scanned' AS item, count(*)::BIGINT AS n FROM s UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'words', sum(words)::BIGINT FROM a UNION ALL SELECT 'category:' || category, count(*) FROM a GROUP BY category
  UNION ALL SELECT 'split:' || split, count(*) FROM a GROUP BY split UNION ALL SELECT 'licence:' || licence, count(*) FROM a GROUP BY licence) SELECT item, n FROM r""")
@@ -403,7 +409,9 @@ def _(spark, sf):
 
 @query("bpe_merges")
 def _(spark, sf):
-    return tokens.bpe_merges(X.docs(spark, sf).select("text"), 20)
+    """A vocabulary of 8,000 pieces with the special ones, as (step, left, right, n) for its merges."""
+    v = bpe.vocabulary(X.docs(spark, sf).select("text"), 8000)
+    return v.filter("left IS NOT NULL").select((F.col("id") - len(bpe.SPECIALS)).alias("step"), "left", "right", "n")
 
 
 @query("flatten_nested", f"SELECT doc_id, md5(array_to_string(list_filter([{D.strip('source')}, {D.strip('text')}], lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.config import Lexicon, Quality
+from loam.config import Lexicon, Limit
 from loam.operators import cleaning
 
 WS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -57,14 +57,10 @@ m AS (SELECT * EXCLUDE (w, ls), len(w)::BIGINT AS words, length(t)::BIGINT AS ch
   CASE WHEN len(ls) = 0 THEN 1.0 ELSE len(list_filter(ls, lambda x: len(list_filter(ls, lambda y: y = x)) > 1)) / len(ls) END::DOUBLE AS duplicate_line_fraction{extra} FROM w)"""
 
 
-def reasons(q: Quality) -> str:
+def reasons(limits: tuple[Limit, ...]) -> str:
     """A list over m's columns."""
-    tests = (
-        ("too_short", f"words < {q.min_words}"), ("too_long", f"words > {q.max_words}"), ("low_alpha_word_fraction", f"alpha_word_fraction < {q.min_alpha_fraction}"),
-        ("high_symbol_ratio", f"symbol_to_word_ratio > {q.max_symbol_ratio}"), ("median_word_too_short", f"median_word_length < {q.min_median_length}"),
-        ("median_word_too_long", f"median_word_length > {q.max_median_length}"), ("excess_duplicate_lines", f"duplicate_line_fraction > {q.max_duplicate_lines}"),
-    )
-    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests) + "], lambda x: x IS NOT NULL)"
+    cases = [f"CASE WHEN {measure} {side} {bound} THEN '{reason}' END" for reason, measure, side, bound, _ in limits]
+    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
 
 
 def category(x: str, lex: Lexicon) -> str:

@@ -61,9 +61,9 @@ def _(spark, sf):
     return m.withColumns({c: F.round(c, 6) for c in ("alpha_word_fraction", "symbol_to_word_ratio", "duplicate_line_fraction")})
 
 
-@query("quality_reasons", f"WITH {D.NORM}, {D.metrics()} SELECT doc_id, array_to_string({D.reasons(C.Quality())}, ',') AS reasons FROM m")
+@query("quality_reasons", f"WITH {D.NORM}, {D.metrics()} SELECT doc_id, array_to_string({D.reasons(C.LIMITS)}, ',') AS reasons FROM m")
 def _(spark, sf):
-    return measured(normalised(spark, sf), "t", "doc_id").select("doc_id", F.array_join(quality.reasons(F.col("m"), C.Quality()), ",").alias("reasons"))
+    return measured(normalised(spark, sf), "t", "doc_id").select("doc_id", F.array_join(quality.reasons(F.col("m"), C.LIMITS), ",").alias("reasons"))
 
 
 @query("dup_line_fraction", f"WITH {D.NORM}, {D.metrics()} SELECT doc_id, round(duplicate_line_fraction, 6) AS fraction FROM m")
@@ -167,7 +167,7 @@ def _(spark, sf):
 
 
 @query("staged_filter", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, CASE WHEN {LICENCE_SQL} IS NULL THEN 'missing_id_or_licence' WHEN {D.category('t', C.TEST_TOPICS)} IS NULL THEN 'no_category'
- WHEN len({D.reasons(C.HOSTED_QUALITY)}) > 0 THEN 'quality' ELSE 'accepted' END AS stage FROM m) SELECT stage, count(*)::BIGINT AS n FROM s GROUP BY stage""")
+ WHEN len({D.reasons(C.HOSTED_LIMITS)}) > 0 THEN 'quality' ELSE 'accepted' END AS stage FROM m) SELECT stage, count(*)::BIGINT AS n FROM s GROUP BY stage""")
 def _(spark, sf):
     return staged(spark, sf).groupBy("stage").agg(F.count("*").alias("n"))
 
@@ -175,15 +175,15 @@ def _(spark, sf):
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's first stage that fails; later stages are only worked out for rows that reach them."""
     n = normalised(spark, sf).select("doc_id", licence().alias("licence"), classify.classify_text(F.col("t"), C.TEST_TOPICS).alias("category"), "t")
-    bad = quality.reasons(quality.metrics(F.col("t")), C.HOSTED_QUALITY)
+    bad = quality.reasons(quality.metrics(F.col("t")), C.HOSTED_LIMITS)
     stage = F.when(F.col("licence").isNull(), "missing_id_or_licence").when(F.col("category").isNull(), "no_category").when(F.size(bad) > 0, "quality").otherwise("accepted")
     return n.select("doc_id", "licence", "category", "t", stage.alias("stage"))
 
 
-@query("clean_filter", f"WITH {D.cleaned()}, n AS (SELECT doc_id, text AS t FROM c), {D.metrics()} SELECT doc_id, words FROM m WHERE len({D.reasons(C.CLEAN_QUALITY)}) = 0")
+@query("clean_filter", f"WITH {D.cleaned()}, n AS (SELECT doc_id, text AS t FROM c), {D.metrics()} SELECT doc_id, words FROM m WHERE len({D.reasons(C.CLEAN_LIMITS)}) = 0")
 def _(spark, sf):
     c = cleaned(spark, sf).select("doc_id", F.col("c.text").alias("t"))
-    m = T.let(quality.metrics(F.col("t")), lambda x: F.struct(x["words"].cast("long").alias("words"), F.size(quality.reasons(x, C.CLEAN_QUALITY)).alias("broken")))
+    m = T.let(quality.metrics(F.col("t")), lambda x: F.struct(x["words"].cast("long").alias("words"), F.size(quality.reasons(x, C.CLEAN_LIMITS)).alias("broken")))
     return once(c, m).filter("broken = 0").select("doc_id", "words")
 
 

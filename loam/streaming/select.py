@@ -6,12 +6,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loam.config import HOSTED_QUALITY, Lexicon, Quality
+from loam.config import HOSTED_LIMITS, Lexicon, Limit
 from loam.functions import text as T
 from loam.operators import classify, quality
 
 
-def select_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, lexicon: Lexicon, limits: Quality = HOSTED_QUALITY) -> StreamingQuery:
+def select_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, lexicon: Lexicon, limits: tuple[Limit, ...] = HOSTED_LIMITS) -> StreamingQuery:
     """JSON lines (id, text, licence) as they arrive, each with the first stage it fails, to Parquet; runs until what is there is done.
 
     Rows are judged alone, so there is no state to keep; duplicates are left to the batch job, as near-duplicates depend on order.

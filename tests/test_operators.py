@@ -81,7 +81,7 @@ def test_targets():
     with pytest.raises(ValueError):
         classify.quotas(0, C.MIX)
     with pytest.raises(ValueError):
-        C.Split(0.5, 0.1, 0.1)
+        classify.split_of(F.lit("x"), {"train": 0.5, "val": 0.1, "test": 0.1, "seed": 1})
 
 
 def test_curation(spark):
@@ -90,7 +90,7 @@ def test_curation(spark):
     near[200] = "changed"
     rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, " ".join(f"other{i}" for i in range(400)))]
     d = spark.createDataFrame(rows, "ord long, t string").select("ord", T.content_hash(F.col("t")).alias("sha"), T.word_tokens(F.col("t")).alias("words"))
-    got = {r["ord"]: (r["verdict"], r["duplicate_of"]) for r in dedup.near(d, C.Dedup(threshold=0.8)).collect()}
+    got = {r["ord"]: (r["verdict"], r["duplicate_of"]) for r in dedup.near(d, {**C.NEAR, "jaccard_threshold": 0.8}).collect()}
     assert got == {1: ("accepted", None), 2: ("exact_duplicate", 1), 3: ("near_duplicate", 1), 4: ("accepted", None)}
 
 
@@ -126,8 +126,8 @@ def test_latest(spark):
 def test_readiness(spark):
     sel = spark.createDataFrame([(c, s) for c, n in (("robotics", 30), ("neurotechnology", 15), ("core_rehab", 55)) for s in ["val"] * 5 + ["test"] * 5 + ["train"] * (n - 10)], "category string, split string")
     sums = spark.createDataFrame([(100, 10)], "original_chars long, removed_chars long")
-    assert reports.readiness(sel, sums, C.Readiness(min_documents=100, min_val=10, min_test=10)).first()["ready"]
-    r = reports.readiness(sel, sums, C.Readiness()).first()
+    assert reports.readiness(sel, sums, {**C.GATE, "enough_documents": 100, "validation_size": 10, "test_size": 10}).first()["ready"]
+    r = reports.readiness(sel, sums, C.GATE).first()
     assert not r["ready"] and len(r["reasons"]) == 3
 
 
@@ -156,7 +156,7 @@ def test_stream(spark, tmp_path):
 def test_gate_says_what_it_found(spark):
     sel = spark.createDataFrame([(i, "robotics" if i % 20 == 0 else "core_rehab", "train") for i in range(3546)], "doc_id long, category string, split string")
     sums = spark.createDataFrame([(1000, 400)], "original_chars long, removed_chars long")
-    r = reports.readiness(sel, sums, C.Readiness())
+    r = reports.readiness(sel, sums, C.GATE)
     assert r.first()["reasons"] == [
         "Need robotics fraction >= 12%; found 5.0% (178 documents).",
         "Need neurotechnology fraction >= 5%; found 0.0% (0 documents).",
