@@ -208,8 +208,12 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
         if f:
             f.close()
 
-    python_ready(index.sparkSession)
-    order = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    python_ready(spark)
+    # index rows are small beside what they name, so tasks are dealt by the bytes that they will read
+    share = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // share))
+    order = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return order.mapInArrow(run, "record_id string, page_id long, record_type string, refers string, payload_digest string, payload_bytes long, payload binary")
 
 
