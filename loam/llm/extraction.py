@@ -31,6 +31,8 @@ from loam.llm import common
 
 PATH_SLOTS, WORD_SLOTS, DIM, HIDDEN, PLAIN = 2048, 2048, 12, 8, 4
 PAGES, EPOCHS = 2500, 8
+#: By which word vectors shrink each step: what a few pages have taught of a word, or of others in its slot, fades, so that a single word decides little.
+DECAY = 0.01
 
 # fixed values: HTML's block-level elements, elements without an end, and those whose content isn't text
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -248,7 +250,10 @@ def gradients(m: dict, pages: Pages) -> tuple[float, dict]:
 
 # pages to learn from
 
-_BODY = ["article", "main", "section", "div.content", "div.post body", "div.entry content", "div.article text", "div#main content", "div.story", "td.content"]
+_BODY = ["article", "main", "section", "div.content", "div.post body", "div.entry content", "div.article text", "div#main content", "div.story", "td.content", "div", "div#article", "div.post", "div.text", "div.page"]
+#: How an article's paragraphs are written: in p; in div, plain or named; as lines between br, in spans or not; in sections; in dd, blockquote or li.
+_FORMS = ["p"] * 10 + ["div"] * 4 + ["named"] * 4 + ["lines"] * 4 + ["section", "dl", "quote", "list", "mixed"]
+_PARAS = ["div.para", "div.paragraph", "div.text", "div.p", "div.block", "div.line", "div.copy", "p.para", "p.text"]
 _TELL = {
     "nav": "home about contact login menu search news sports products categories next previous".split(),
     "footer": "copyright rights reserved privacy terms imprint contact sitemap all".split(),
@@ -317,38 +322,98 @@ class _Writer:
             self.bare(self.sentence(tell), 0)
         else:
             for _ in range(self.r.randint(1, 4)):
-                self.leaf(self.r.choice(["p", "div", "h3", "span" if False else "p", "li"]), self.sentence(tell) if self.r.random() < 0.6 else self.words(1, 6, tell), 0, self.r.random() < 0.3)
+                self.leaf(self.r.choice(["p", "p", "div", "h3", "li"]), self.sentence(tell) if self.r.random() < 0.6 else self.words(1, 6, tell), 0, self.r.random() < 0.3)
         self.raw(end)
 
-    def article(self, inside: bool) -> None:
+    def para(self, form: str, text: str) -> None:
+        """A paragraph of an article."""
         r = self.r
-        end = self.open(r.choice(_BODY[:3] if r.random() < 0.5 else _BODY))
+        form = r.choice(_FORMS) if form == "mixed" else form
+        if form == "named":
+            end = self.open(r.choice(_PARAS) if r.random() < 0.7 else f"div.{r.choice(self.vocab)}")
+            self.bare(text, 1)
+            self.raw(end)
+        elif form == "section":
+            self.raw("<section>")
+            self.leaf(r.choice(["p", "div"]), text, 1)
+            self.raw("</section>")
+        elif form == "dl":
+            self.raw("<dl>")
+            if r.random() < 0.6:
+                self.leaf("dt", self.words(1, 5), 1)
+            self.leaf("dd", text, 1)
+            self.raw("</dl>")
+        elif form == "list":
+            end = self.open(r.choice(["ol", "ul"]))
+            for _ in range(r.randint(1, 6)):
+                self.leaf("li", self.sentence(), 1)
+            self.raw(end)
+        elif form == "quote":
+            self.raw("<blockquote>" * r.randint(1, 2))
+            self.leaf(r.choice(["p", "blockquote", "div"]), text, 1)
+            self.raw("</blockquote>" * 2)
+        else:
+            self.leaf(form if form == "div" else "p", text, 1)
+
+    def lines(self) -> None:
+        """Paragraphs with breaks between them: one block."""
+        r = self.r
+        span, gap = r.random() < 0.5, r.choice(["<br>", "<br><br>", "<br/>\n<br/>"])
+        one = [html.escape(self.sentence()) for _ in range(r.randint(1, 8))]
+        self.parts.append((gap.join(f"<span>{x}</span>" if span else x for x in one), 1))
+
+    def article(self, inside: bool, body: str = "") -> None:
+        r = self.r
+        body = body or r.choice(_BODY[:3] if r.random() < 0.4 else _BODY)
+        end = self.open(f"div.{r.choice(self.vocab)}" if r.random() < 0.08 else body) if body == "td" or r.random() < 0.95 else ""
+        form = r.choice(_FORMS)
         if r.random() < 0.85:
             self.leaf(r.choice(["h1", "h1", "h2"]), self.words(1, 10) + r.choice(["", "."]), 1)
         for _ in range(r.randint(1, 16)):
             x = r.random()
             if x < 0.72:
-                self.leaf("p", self.sentence() if r.random() < 0.85 else self.words(1, 4), 1)
+                if form == "lines":
+                    self.lines()
+                    self.leaf("h3", self.words(1, 6), 1)
+                else:
+                    self.para(form, self.sentence() if r.random() < 0.85 else self.words(1, 4))
             elif x < 0.80:
                 self.leaf(r.choice(["h2", "h3"]), self.words(1, 6), 1)
             elif x < 0.86:
-                self.raw("<ul>")
+                end = self.open(r.choice(["ul", "ol"]))
                 for _ in range(r.randint(1, 5)):
-                    self.leaf("li", self.words(1, 12), 1)
-                self.raw("</ul>")
+                    self.leaf("li", self.words(1, 12) if r.random() < 0.6 else self.sentence(), 1)
+                self.raw(end)
             elif x < 0.90:
                 self.leaf(r.choice(["blockquote", "pre", "figcaption"]), self.sentence(), 1)
             elif inside:
-                self.junk(r.choice(["aside", "div.ad", "aside.related", "div.advert", "div.promo", "div.share", "form.newsletter", "nav.toc", "div.banner"]), r.choice(["ad", "side", "form", "nav"]))
+                self.junk(r.choice(["aside", "div.ad", "aside.related", "div.advert", "div.promo", "div.share", "form.newsletter", "nav.toc", "div.banner", "div.related"]), r.choice(["ad", "side", "form", "nav"]))
+        if form == "lines":
+            self.raw("<hr>")
+            self.lines()
         if inside and r.random() < 0.3:
             self.junk(r.choice(["section.comments", "div#comments", "div.comment list", "footer"]), "comment")
         self.raw(end)
 
+    def table(self) -> None:
+        """An article in a cell, with menus and side boxes in others."""
+        r = self.r
+        self.raw("<table><tr>")
+        if r.random() < 0.7:
+            self.menu(r.choice(["td", "td.nav", "td.menu", "td.left"]), r.choice(["nav", "side"]))
+        self.article(r.random() < 0.3, "td")
+        if r.random() < 0.5:
+            self.junk(r.choice(["td.sidebar", "td.right", "td.ad"]), "side")
+        self.raw("</tr></table>")
+
 
 def sample_page(seed: int) -> tuple[str, list[int]]:
     """A page and the label of each of its blocks."""
     r = random.Random(seed)
     w = _Writer(r)
+    if r.random() < 0.02:  # text without a tag
+        w.bare(" ".join(w.sentence() for _ in range(r.randint(1, 12))), 1)
+        return w.parts[0][0], [1]
     w.raw("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>")
     some = lambda p, f, specs, tell: r.random() < p and f(r.choice(specs), tell)
     some(0.5, w.junk, ["header", "div.header", "div#top", "header.site", "div.masthead"], "nav")
@@ -359,7 +424,7 @@ def sample_page(seed: int) -> tuple[str, list[int]]:
     if left:
         w.menu(r.choice(["aside", "div.sidebar", "div#sidebar", "aside.widget"]), "side")
     wrap = w.open(r.choice(["div.wrapper", "div#page", "main", "div"])) if r.random() < 0.4 else ""
-    w.article(r.random() < 0.4)
+    w.table() if r.random() < 0.08 else w.article(r.random() < 0.4)
     w.raw(wrap)
     some(0.35, w.junk, ["aside", "div.sidebar", "aside.related", "div.widget", "div#secondary"], "side")
     some(0.3, w.junk, ["form", "form.search", "div.subscribe", "form#newsletter", "div.signup"], "form")
@@ -401,6 +466,7 @@ def model(pages: int = PAGES, epochs: int = EPOCHS) -> dict:
                 a[k] = 0.9 * a[k] + 0.1 * v
                 b[k] = 0.99 * b[k] + 0.01 * v * v
                 m[k] = (m[k] - np.float32(rate) * (a[k] / (1 - 0.9**step)) / (np.sqrt(b[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            m["word"] *= np.float32(1 - DECAY)
     return m
 
 
