@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam import config as C
 from loam.functions import text as T
-from loam.operators import bpe, classify, dedup, instructions, quality, reports, tokens
+from loam.operators import bpe, classify, dedup, instructions, quality, reports, tokens, unigram
 from loam.plans import duck as D
 from loam.plans import texts as X
 from loam.plans.registry import query
@@ -414,6 +414,12 @@ def _(spark, sf):
     return v.filter("left IS NOT NULL").select((F.col("id") - len(bpe.SPECIALS)).alias("step"), "left", "right", "n")
 
 
+@query("unigram_vocabulary")
+def _(spark, sf):
+    """A vocabulary of 8,000 pieces of the other model: (id, piece, score)."""
+    return unigram.vocabulary(X.docs(spark, sf).select("text"), 8000)
+
+
 @query("flatten_nested", f"SELECT doc_id, md5(array_to_string(list_filter([{D.strip('source')}, {D.strip('text')}], lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM documents")
 def _(spark, sf):
     d = X.docs(spark, sf)

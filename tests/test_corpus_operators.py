@@ -1,5 +1,6 @@
 """Vocabularies, near duplicates in hot bands, early stops and settings, against plain loops."""
 
+import math
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam import config as C
 from loam.functions import text as T
-from loam.operators import bpe, dedup, quality
+from loam.operators import bpe, dedup, quality, unigram
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,3 +161,65 @@ def test_settings():
             C.settings(bad)
     with pytest.raises(ValueError):
         C.limits(too_shrt=1)
+
+
+def all_cuts(word, scores, longest):
+    if not word:
+        return [[]]
+    return [[word[:k], *rest] for k in range(1, min(len(word), longest) + 1) if word[:k] in scores for rest in all_cuts(word[k:], scores, longest)]
+
+
+def test_unigram_rounds_are_those_of_all_cuts(spark):
+    texts = ["abab abc ab cab", "abcab ab", "é éa"]
+    words = bpe.word_pieces(spark.createDataFrame([(t,) for t in texts], "text string"))
+    of = [("".join(p), c) for p, c in pieces(spark, texts)]
+    scores = unigram.seeds(words, 1000, 4)
+    subs = Counter()
+    for w, c in of:
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + 4) + 1):
+                subs[w[i:j]] += c
+    assert set(scores) == {x for x, n in subs.items() if len(x) == 1 or n > 1}
+    assert math.isclose(sum(map(math.exp, scores.values())), 1)
+    last = -math.inf
+    for _ in range(4):
+        got, new = unigram.fitted(words, scores, 4)
+        total, counts = 0.0, Counter()
+        for w, c in of:
+            chances = [(math.exp(sum(scores[x] for x in cut)), cut) for cut in all_cuts(w, scores, 4)]
+            z = sum(p for p, _ in chances)
+            total += c * math.log(z)
+            for p, cut in chances:
+                for x in cut:
+                    counts[x] += c * p / z
+        assert math.isclose(got, total, rel_tol=1e-9) and got >= last - 1e-9
+        mass = sum(max(counts[x], 1e-3 if len(x) == 1 else 0) for x in scores)
+        assert all(math.isclose(math.exp(v), max(counts[x], 1e-3 if len(x) == 1 else 0) / mass, rel_tol=1e-6, abs_tol=1e-12) for x, v in new.items())
+        last, scores = got, new
+
+
+def test_unigram_pruning_keeps_what_is_missed_most(spark):
+    texts = ["abcabc abc abd", "abd xyz xyz"]
+    words = bpe.word_pieces(spark.createDataFrame([(t,) for t in texts], "text string"))
+    scores = unigram.fitted(words, unigram.seeds(words, 1000, 4), 4)[1]
+    best = lambda w, without=None: max((c for c in all_cuts(w, scores, 4) if without not in c), key=lambda c: sum(scores[x] for x in c))
+    used = Counter()
+    for w, c in pieces(spark, texts):
+        for x in best("".join(w)):
+            used[x] += c
+    cost = {x: used[x] * (scores[x] - sum(scores[y] for y in best(x, x))) for x in scores if len(x) > 1}
+    letters = [x for x in scores if len(x) == 1]
+    kept = unigram.pruned(words, scores, len(letters) + 3, 4)
+    assert len(kept) == len(letters) + 3 and set(letters) <= set(kept)
+    least = min(cost[x] for x in kept if len(x) > 1)
+    assert all(cost[x] <= least + 1e-9 for x in cost if x not in kept)
+
+
+def test_unigram_vocabulary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40)
+    v = unigram.vocabulary(docs, 400, n_seeds=3000).orderBy("id").collect()
+    assert len(v) == 400 and tuple(r["piece"] for r in v[:4]) == bpe.SPECIALS
+    assert [r["score"] for r in v[4:]] == sorted((r["score"] for r in v[4:]), reverse=True)
+    assert math.isclose(sum(math.exp(r["score"]) for r in v[4:]), 1, rel_tol=1e-6)
+    none = unigram.vocabulary(spark.createDataFrame([("",), (None,)], "text string"), 50).collect()
+    assert [r["piece"] for r in none] == list(bpe.SPECIALS)
