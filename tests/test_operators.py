@@ -144,15 +144,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert one(spark, xml, articles.rights) == ["x", "y"]
 
 
-def test_stream(spark, tmp_path):
-    from loam.streaming.select import select_stream
-
-    sinks.jsonl(spark.createDataFrame([("a", "the " * 300, "cc by"), ("b", "the", "cc by"), ("c", "x", None)], "id string, text string, licence string"), f"{tmp_path}/in")
-    q = select_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", C.TEST_TOPICS)
-    q.awaitTermination(60)
-    assert {(r["id"], r["stage"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} >= {("a", "accepted"), ("c", "missing_id_or_licence")}
-
-
 def test_gate_says_what_it_found(spark):
     sel = spark.createDataFrame([(i, "robotics" if i % 20 == 0 else "core_rehab", "train") for i in range(3546)], "doc_id long, category string, split string")
     sums = spark.createDataFrame([(1000, 400)], "original_chars long, removed_chars long")
