@@ -6,7 +6,7 @@ import random
 import tempfile
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.config import checked_near
@@ -15,14 +15,22 @@ from loam.functions import text as T
 PRIME = (1 << 31) - 1
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, in local tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='loam-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once and kept in spark.checkpoint.dir, so lineage ends and lost executors cost nothing."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        set_ = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not set_ and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(set_ or tempfile.mkdtemp(prefix="loam-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

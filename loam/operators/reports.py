@@ -20,18 +20,27 @@ def category_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("category", F.lit("unclassified")).alias("category")).agg(F.count("*").alias("n"))
 
 
+def _ppm(sums: DataFrame, item: str, part: str, whole: str) -> DataFrame:
+    """``part`` of ``whole``, two items of ``sums`` (item, n), in millionths, as a row."""
+    of = lambda k: F.sum(F.when(F.col("item") == k, F.col("n")))
+    return sums.agg(F.lit(item).alias("item"), F.bround(1e6 * of(part) / F.greatest(of(whole), F.lit(1)), 0).cast("long").alias("n"))
+
+
 def autopsy(docs: DataFrame) -> DataFrame:
-    """(item, n) in one pass: each document gives its items, summed as they are met."""
-    c = docs.select("source", cleaning.contamination(F.col("text")).alias("m"), cleaning.clean(F.col("text")).alias("c"))
+    """``docs`` (source, category, text) to (item, n) in one pass: each document gives its items, summed as they are met; then fractions of them."""
+    c = docs.select("source", "category", cleaning.contamination(F.col("text")).alias("m"), cleaning.clean(F.col("text")).alias("c"))
     pair = lambda k, v: F.struct(k.alias("item"), v.cast("long").alias("n"))
     items = F.concat(
         F.array(
             pair(F.lit("documents"), F.lit(1)), pair(F.lit("contaminated"), (F.size("m") > 0).cast("int")), pair(F.concat(F.lit("source:"), F.coalesce("source", F.lit("unknown"))), F.lit(1)),
+            pair(F.concat(F.lit("category:"), F.coalesce("category", F.lit("unclassified"))), F.lit(1)),
             pair(F.lit("original_chars"), F.col("c.original_chars")), pair(F.lit("removed_chars"), F.col("c.removed_chars")),
         ),
         F.transform(F.map_entries("m"), lambda e: pair(F.concat(F.lit("marker:"), e["key"]), e["value"])),
     )
-    return c.select(F.inline(items)).groupBy("item").agg(F.sum("n").alias("n"))
+    sums = c.select(F.inline(items)).groupBy("item").agg(F.sum("n").alias("n"))
+    fractions = _ppm(sums, "contaminated_fraction_ppm", "contaminated", "documents").unionByName(_ppm(sums, "removed_fraction_ppm", "removed_chars", "original_chars"))
+    return sums.unionByName(fractions.filter("n IS NOT NULL"))
 
 
 def marker_examples(markers: DataFrame, k: int) -> DataFrame:
@@ -45,17 +54,19 @@ def cleaning_stats(cleaned: DataFrame) -> DataFrame:
     named = lambda prefix, m: F.transform(F.map_entries(m), lambda e: pair(F.concat(F.lit(prefix), e["key"]), e["value"]))
     plain = F.array(*[pair(F.lit(k), F.col(f"c.{k}")) for k in ("anchors", "tags", "original_chars", "removed_chars")])
     sums = cleaned.select(F.inline(F.concat(plain, named("removed_section:", "c.sections"), named("removed_inline:", "c.sentences")))).groupBy("item").agg(F.sum("n").alias("n"))
-    of = lambda k: F.sum(F.when(F.col("item") == k, F.col("n")))
-    ppm = sums.agg(F.lit("removed_fraction_ppm").alias("item"), F.bround(1e6 * of("removed_chars") / F.greatest(of("original_chars"), F.lit(1)), 0).cast("long").alias("n"))
-    return sums.unionByName(ppm).filter("n <> 0")
+    return sums.unionByName(_ppm(sums, "removed_fraction_ppm", "removed_chars", "original_chars")).filter("n <> 0")
 
 
-def build_report(selected: DataFrame) -> DataFrame:
-    """Counts by split, category and source, and in all, from one shuffle."""
+def build_report(selected: DataFrame, offered: DataFrame) -> DataFrame:
+    """(item, n): what was ``offered`` (category), and ``selected`` (split, category, source, words) of it by split, category and source, and in all."""
     g = selected.groupingSets([["split"], ["category"], ["source"], []], "split", "category", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     name = lambda p, c: F.concat(F.lit(p), F.coalesce(c, F.lit("unknown")))
     item = F.when(F.col("g") == 3, name("split:", "split")).when(F.col("g") == 5, name("category:", "category")).when(F.col("g") == 6, name("source:", "source")).otherwise("selected")
-    return g.select(item.alias("item"), "n")
+    pair = lambda k, v: F.struct(F.lit(k).alias("item"), v.cast("long").alias("n"))
+    raw = offered.agg(F.count("*").alias("raw"), F.count(F.when(F.col("category").isNull(), 1)).alias("rejected"))
+    raw = raw.select(F.inline(F.array(pair("raw", F.col("raw")), pair("rejected", F.col("rejected")), pair("accepted", F.col("raw") - F.col("rejected")))))
+    words = selected.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).select(F.lit("words").alias("item"), F.col("n").cast("long"))
+    return g.select(item.alias("item"), "n").unionByName(raw).unionByName(words)
 
 
 def scan_stats(staged: DataFrame) -> DataFrame:
@@ -66,6 +77,7 @@ def scan_stats(staged: DataFrame) -> DataFrame:
     items = F.array(
         pair(F.lit("scanned"), F.lit(1)), F.when(ok, pair(F.lit("accepted"), F.lit(1))), F.when(ok, pair(F.lit("words"), F.size(T.word_tokens(F.col("t"))))),
         named("category:", F.col("category")), named("split:", split), named("licence:", F.col("licence")),
+        F.when(~ok, pair(F.concat(F.lit("rejected:"), F.col("stage")), F.lit(1))),
     )
     return staged.select(F.inline(F.array_compact(items))).groupBy("item").agg(F.sum("n").alias("n"))
 
@@ -129,13 +141,13 @@ def require_ready(verdict: DataFrame) -> None:
 
 
 def curation_stats(curated: DataFrame) -> DataFrame:
-    """(item, n) of a curation: raw, accepted and rejected documents, accepted words and characters, and accepted documents by split, source and language."""
+    """(item, n) of a curation: raw, accepted and rejected documents, accepted words and characters, and accepted documents by split, source, language and licence."""
     ok = F.col("reasons") == ""
     pair = lambda k, v: F.struct(k.alias("item"), v.cast("long").alias("n"))
     of = lambda p, c: F.when(ok, pair(F.concat(F.lit(p), F.coalesce(F.col(c), F.lit("unknown"))), F.lit(1)))
     items = F.array(
         pair(F.lit("raw"), F.lit(1)), pair(F.when(ok, "accepted").otherwise("rejected"), F.lit(1)), F.when(ok, pair(F.lit("words"), F.col("words"))),
-        F.when(ok, pair(F.lit("chars"), F.col("chars"))), of("split:", "split"), of("source:", "source"), of("lang:", "lang"),
+        F.when(ok, pair(F.lit("chars"), F.col("chars"))), of("split:", "split"), of("source:", "source"), of("lang:", "lang"), of("licence:", "licence"),
     )
     return curated.select(F.inline(F.array_compact(items))).groupBy("item").agg(F.sum("n").alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from loam.plans import duck as D
 from loam.plans import texts as X
 from loam.plans.registry import query
 from loam.sources import articles
+from loam.streaming import select
 
 DEDUP = C.NEAR
 # fixed values: small dimensions of the discovery queries
@@ -166,22 +169,23 @@ def _(spark, sf):
     return near(spark, sf).withColumnRenamed("ord", "doc_id")
 
 
-_CUR = f"""{_NEAR}, cu AS (SELECT m.doc_id, m.source, m.lang, m.words, m.chars, CASE WHEN len(q.rs) > 0 THEN array_to_string(q.rs, ',') WHEN verdict <> 'accepted' THEN verdict ELSE '' END AS reasons,
+_CUR = f"""{_NEAR}, cu AS (SELECT m.doc_id, m.source, m.lang, m.words, m.chars, round(m.alpha_word_fraction, 6) AS alpha_word_fraction, round(m.symbol_to_word_ratio, 6) AS symbol_to_word_ratio, m.median_word_length, round(m.duplicate_line_fraction, 6) AS duplicate_line_fraction, CASE WHEN len(q.rs) > 0 THEN array_to_string(q.rs, ',') WHEN verdict <> 'accepted' THEN verdict ELSE '' END AS reasons,
   duplicate_of, jaccard, CASE WHEN len(q.rs) = 0 AND verdict = 'accepted' THEN {D.split('m.doc_id')} END AS split FROM m JOIN q USING (doc_id) LEFT JOIN nd ON nd.ord = m.doc_id)"""
 
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document: reasons ('' if accepted), what it duplicates, words, chars and, if accepted, its split."""
+    """Every document: reasons ('' if accepted), what it duplicates, its six measures and, if accepted, its split."""
     s = dedup.settled(scored(spark, sf))
     p = s.filter("size(rs) = 0").select("ord", T.content_hash(F.col("t")).alias("sha"), T.word_tokens(F.col("t")).alias("words"))
     v = dedup.near(p, DEDUP)
     why = F.when(F.size("rs") > 0, F.array_join("rs", ",")).when(F.col("verdict") != "accepted", F.col("verdict")).otherwise("")
     split = F.when(why == "", classify.split_of(F.col("ord").cast("string"), C.SPLIT))
     got = s.join(v, "ord", "left")
-    return got.select(F.col("ord").alias("doc_id"), "source", "lang", F.col("m.words").cast("long").alias("words"), F.col("m.chars").cast("long").alias("chars"), why.alias("reasons"), "duplicate_of", "jaccard", split.alias("split"))
+    measures = [F.round(f"m.{c}", 6).alias(c) for c in ("alpha_word_fraction", "symbol_to_word_ratio", "duplicate_line_fraction")] + [F.col("m.median_word_length")]
+    return got.select(F.col("ord").alias("doc_id"), "source", "lang", F.col("m.words").cast("long").alias("words"), F.col("m.chars").cast("long").alias("chars"), *measures, why.alias("reasons"), "duplicate_of", "jaccard", split.alias("split"))
 
 
-@query("curate", f"WITH RECURSIVE {_CUR} SELECT doc_id, words, chars, reasons, duplicate_of, jaccard, split FROM cu")
+@query("curate", f"WITH RECURSIVE {_CUR} SELECT * EXCLUDE (source, lang) FROM cu")
 def _(spark, sf):
     return curated(spark, sf).drop("source", "lang")
 
@@ -214,9 +218,10 @@ def _(spark, sf):
 
 @query("curation_stats", f"""WITH RECURSIVE {_CUR}, ok AS (SELECT * FROM cu WHERE reasons = ''), r AS (SELECT 'raw' AS item, count(*)::BIGINT AS n FROM cu UNION ALL SELECT 'accepted', count(*) FROM ok UNION ALL SELECT 'rejected', count(*) FROM cu WHERE reasons <> ''
  UNION ALL SELECT 'words', sum(words)::BIGINT FROM ok UNION ALL SELECT 'chars', sum(chars)::BIGINT FROM ok UNION ALL SELECT 'split:' || split, count(*) FROM ok GROUP BY split
- UNION ALL SELECT 'source:' || coalesce(source, 'unknown'), count(*) FROM ok GROUP BY source UNION ALL SELECT 'lang:' || coalesce(lang, 'unknown'), count(*) FROM ok GROUP BY lang) SELECT item, n FROM r WHERE n > 0""")
+ UNION ALL SELECT 'source:' || coalesce(source, 'unknown'), count(*) FROM ok GROUP BY source UNION ALL SELECT 'lang:' || coalesce(lang, 'unknown'), count(*) FROM ok GROUP BY lang
+ UNION ALL SELECT 'licence:' || coalesce({X.LICENCE_SQL}, 'unknown'), count(*) FROM ok GROUP BY {X.LICENCE_SQL}) SELECT item, n FROM r WHERE n > 0""")
 def _(spark, sf):
-    return reports.curation_stats(curated(spark, sf))
+    return reports.curation_stats(curated(spark, sf).withColumn("licence", X.licence()))
 
 
 # reports
@@ -224,9 +229,13 @@ def _(spark, sf):
 
 @query("autopsy", f"""WITH {X.MARKERS_SQL}, {D.cleaned()}, r AS (SELECT 'documents' AS item, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'contaminated', count(DISTINCT doc_id) FROM mk
  UNION ALL SELECT 'source:' || source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'marker:' || marker, sum(n)::BIGINT FROM mk GROUP BY marker
- UNION ALL SELECT 'original_chars', sum(original)::BIGINT FROM c UNION ALL SELECT 'removed_chars', sum(removed)::BIGINT FROM c) SELECT item, n FROM r""")
+ UNION ALL SELECT 'original_chars', sum(original)::BIGINT FROM c UNION ALL SELECT 'removed_chars', sum(removed)::BIGINT FROM c
+ UNION ALL SELECT 'category:' || coalesce({D.category('x', C.TEST_TOPICS)}, 'unclassified'), count(*) FROM x GROUP BY 1
+ UNION ALL SELECT 'contaminated_fraction_ppm', round_even(1e6 * (SELECT count(DISTINCT doc_id) FROM mk) / count(*), 0)::BIGINT FROM documents
+ UNION ALL SELECT 'removed_fraction_ppm', round_even(1e6 * sum(removed) / greatest(1, sum(original)), 0)::BIGINT FROM c) SELECT item, n FROM r""")
 def _(spark, sf):
-    return reports.autopsy(X.derived(spark, sf))
+    d = X.derived(spark, sf)
+    return reports.autopsy(d.withColumn("category", classify.classify_text(F.col("text"), C.TEST_TOPICS)))
 
 
 @query("marker_examples", f"WITH {X.MARKERS_SQL} SELECT marker, doc_id, md5(replace(substr(x, 1, 500), chr(10), ' ')) AS snippet FROM mk JOIN x USING (doc_id) QUALIFY row_number() OVER (PARTITION BY marker ORDER BY doc_id) <= 3")
@@ -283,10 +292,14 @@ def _(spark, sf):
 
 
 @query("build_report", f"""WITH {_MIX}, s AS (SELECT *, {D.split('id')} AS split FROM mx) SELECT coalesce('split:' || split, 'category:' || category, 'source:' || source, 'selected') AS item, count(*)::BIGINT AS n
- FROM s GROUP BY GROUPING SETS ((split), (category), (source), ())""")
+ FROM s GROUP BY GROUPING SETS ((split), (category), (source), ())
+ UNION ALL SELECT 'raw', count(*) FROM ca UNION ALL SELECT 'rejected', count(*) FROM ca WHERE category IS NULL UNION ALL SELECT 'accepted', count(*) FROM ca WHERE category IS NOT NULL
+ UNION ALL SELECT 'words', coalesce(sum(len({D.words('text')})), 0)::BIGINT FROM s JOIN documents USING (doc_id)""")
 def _(spark, sf):
-    m = classify.select_mixture(categorised(spark, sf), QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.SPLIT))
-    return reports.build_report(m)
+    every = categorised(spark, sf)
+    m = classify.select_mixture(every, QUOTAS, 42).withColumn("split", classify.split_of(F.col("id"), C.SPLIT))
+    m = m.join(X.docs(spark, sf).select("doc_id", "text"), "doc_id").withColumn("words", F.size(T.word_tokens(F.col("text")))).drop("text")
+    return reports.build_report(m, every)
 
 
 @query("readiness", f"""WITH {_MIX}, sp AS (SELECT *, {D.split('id')} AS split FROM mx), a AS (SELECT count(*) AS n, count(*) FILTER (category = 'robotics') AS ro, count(*) FILTER (category = 'neurotechnology') AS ne,
@@ -306,13 +319,27 @@ def _(spark, sf):
 
 
 @query("scan_stats", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, words, {X.LICENCE_SQL} AS licence, {D.category('t', C.TEST_TOPICS)} AS category, {D.reasons(C.HOSTED_LIMITS)} AS rs FROM m),
+st AS (SELECT CASE WHEN licence IS NULL THEN 'missing_id_or_licence' WHEN category IS NULL THEN 'no_category' WHEN len(rs) > 0 THEN 'quality' END AS stage FROM s),
  a AS (SELECT *, {D.split('doc_id')} AS split FROM s WHERE licence IS NOT NULL AND category IS NOT NULL AND len(rs) = 0),
  r AS (SELECT 'scanned' AS item, count(*)::BIGINT AS n FROM s UNION ALL SELECT 'accepted', count(*) FROM a UNION ALL SELECT 'words', sum(words)::BIGINT FROM a UNION ALL SELECT 'category:' || category, count(*) FROM a GROUP BY category
- UNION ALL SELECT 'split:' || split, count(*) FROM a GROUP BY split UNION ALL SELECT 'licence:' || licence, count(*) FROM a GROUP BY licence) SELECT item, n FROM r""")
+ UNION ALL SELECT 'split:' || split, count(*) FROM a GROUP BY split UNION ALL SELECT 'licence:' || licence, count(*) FROM a GROUP BY licence
+ UNION ALL SELECT 'rejected:' || stage, count(*) FROM st WHERE stage IS NOT NULL GROUP BY stage) SELECT item, n FROM r""")
 def _(spark, sf):
     return reports.scan_stats(X.staged(spark, sf))
 
 
+@query("stream_scan", f"""WITH {D.NORM}, {D.metrics()}, s AS (SELECT doc_id, sha256(t) AS sha, CASE WHEN {X.LICENCE_SQL} IS NULL THEN 'missing_id_or_licence' WHEN {D.category('t', C.TEST_TOPICS)} IS NULL THEN 'no_category'
+ WHEN len({D.reasons(C.HOSTED_LIMITS)}) > 0 THEN 'quality' ELSE 'accepted' END AS stage FROM m),
+ d AS (SELECT CASE WHEN stage = 'accepted' AND row_number() OVER (PARTITION BY sha, stage ORDER BY doc_id) > 1 THEN 'exact_duplicate' ELSE stage END AS stage FROM s) SELECT stage, count(*)::BIGINT AS n FROM d GROUP BY stage""")
+def _(spark, sf):
+    """The documents as a stream of files: judged, duplicates found by keyed state, and counted."""
+    top = f"{dedup.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(X.docs(spark, sf).schema).option("maxFilesPerTrigger", 100).parquet(f"{sf}/documents.parque[t]")  # a pattern may be a file or a folder
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.expr(X.right("doc_id % 8")).alias("licence"))
+    select.select_stream(rows, f"{top}/sink", f"{top}/checkpoint", C.TEST_TOPICS).awaitTermination()
+    return select.stage_counts(spark, f"{top}/sink")
+
+
 # instructions
 
 

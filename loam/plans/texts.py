@@ -108,7 +108,7 @@ def _(spark, sf):
 _RIGHTS = ("https://creativecommons.org/licenses/by/4.0/", "https://creativecommons.org/licenses/by-sa/4.0/", "https://creativecommons.org/publicdomain/zero/1.0/", "https://creativecommons.org/licenses/by-nc/4.0/", "CC BY 4.0", "xcc0y", "CC0 1.0", "all rights reserved")
 
 
-def _right(i: str) -> str:
+def right(i: str) -> str:
     return f"CASE {i} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_RIGHTS)) + " END"
 
 
@@ -121,17 +121,17 @@ _ZERO = r"(contains(r, 'creativecommons.org/publicdomain/zero') OR regexp_matche
 _BY = r"regexp_matches(r, '\bcc by\b')"
 
 
-@query("licence_rights", f"WITH r AS (SELECT doc_id, lower({_right('doc_id % 8')} || ' ' || {_right('doc_id % 5')}) AS r FROM documents) SELECT doc_id, {_ladder('r', _ZERO, _BY)} AS licence FROM r")
+@query("licence_rights", f"WITH r AS (SELECT doc_id, lower({right('doc_id % 8')} || ' ' || {right('doc_id % 5')}) AS r FROM documents) SELECT doc_id, {_ladder('r', _ZERO, _BY)} AS licence FROM r")
 def _(spark, sf):
-    rights = F.array(F.expr(_right("doc_id % 8")), F.expr(_right("doc_id % 5")))
+    rights = F.array(F.expr(right("doc_id % 8")), F.expr(right("doc_id % 5")))
     return docs(spark, sf).select("doc_id", classify.licence_of_rights(rights).alias("licence"))
 
 
-LICENCE_SQL = _ladder("lower(" + _right("doc_id % 8") + ")", "(contains(lower(" + _right("doc_id % 8") + "), 'publicdomain/zero') OR contains(lower(" + _right("doc_id % 8") + "), 'cc0'))", "contains(lower(" + _right("doc_id % 8") + "), 'cc by')")
+LICENCE_SQL = _ladder("lower(" + right("doc_id % 8") + ")", "(contains(lower(" + right("doc_id % 8") + "), 'publicdomain/zero') OR contains(lower(" + right("doc_id % 8") + "), 'cc0'))", "contains(lower(" + right("doc_id % 8") + "), 'cc by')")
 
 
 def licence():
-    return classify.licence_of_value(F.expr(_right("doc_id % 8")))
+    return classify.licence_of_value(F.expr(right("doc_id % 8")))
 
 
 @query("licence_meta", f"SELECT doc_id, {LICENCE_SQL} AS licence FROM documents")

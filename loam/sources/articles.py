@@ -56,18 +56,6 @@ def instruction_rows(spark: SparkSession, path: str) -> DataFrame:
     return df.select("id", "instruction", F.coalesce("context", F.lit("")).alias("context"), "response", place.alias("ord"))
 
 
-def token_file(spark: SparkSession, path: str) -> DataFrame:
-    """Flat little-endian int32 files: (path, ids)."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "ids": [np.frombuffer(c, "<i4") for c in b["content"]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, ids array<int>")
-
-
 def query_text(query: Column, licence: Column) -> Column:
     return F.concat(F.lit("("), query, F.lit(") AND "), licence, F.lit(f" {INTEGRITY}"))
 

@@ -50,16 +50,21 @@ def first_of_each(rows: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(mark, ROWS, "first string", "append", GroupStateTimeout.NoTimeout)
 
 
+def json_documents(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """JSON lines (id, text, licence) as a stream, ``files`` files a trigger."""
+    return spark.readStream.schema("id string, text string, licence string").option("maxFilesPerTrigger", files).json(path)
+
+
 def select_stream(
-    spark: SparkSession, source: str, sink: str, checkpoint: str, lexicon: Lexicon, limits: tuple[Limit, ...] = HOSTED_LIMITS, files: int = 100, then: Callable[[int], None] | None = None
+    docs: DataFrame, sink: str, checkpoint: str, lexicon: Lexicon, limits: tuple[Limit, ...] = HOSTED_LIMITS, then: Callable[[int], None] | None = None
 ) -> StreamingQuery:
-    """JSON lines (id, text, licence) as their files arrive, ``files`` of them a trigger, to tables under ``sink``; runs until what is there is done.
+    """A stream of ``docs`` (id, text, licence) to tables under ``sink``; runs until what is there is done.
 
     ``rows`` has each document with its stage, ``counts`` the documents of each stage, both by trigger. A trigger that is done again after a failure
     writes its own part again, so neither loses nor doubles rows; ``then`` is called after each. Near duplicates are left to the batch job, as they depend on
     the order of all documents. What is observed of each trigger, as ``scan``, goes to listeners (see ``progress``).
     """
-    d = judged(spark.readStream.schema("id string, text string, licence string").option("maxFilesPerTrigger", files).json(source), lexicon, limits)
+    d = judged(docs, lexicon, limits)
     passed = F.col("stage") == STAGES[4]
     out = d.filter(~passed).unionByName(first_of_each(d.filter(passed)))
     out = out.observe("scan", F.count("*").alias("scanned"), *[F.count(F.when(F.col("stage") == s, 1)).alias(s) for s in STAGES])

@@ -9,7 +9,7 @@ import pytest
 
 from loam import config as C
 from loam.streaming import progress
-from loam.streaming.select import STAGES, select_stream, stage_counts
+from loam.streaming.select import STAGES, json_documents, select_stream, stage_counts
 
 
 def documents():
@@ -60,16 +60,16 @@ def test_a_restart_changes_nothing(spark, tmp_path):
         if trigger == 2:
             raise RuntimeError("lost the sink")
 
-    q = select_stream(spark, f"{tmp_path}/in", sink, f"{tmp_path}/check", C.TEST_TOPICS, files=1, then=fails)
+    q = select_stream(json_documents(spark, f"{tmp_path}/in", 1), sink, f"{tmp_path}/check", C.TEST_TOPICS, then=fails)
     with pytest.raises(Exception, match="lost the sink"):
         q.awaitTermination(120)
     assert 0 < sum(r["n"] for r in stage_counts(spark, sink).collect()) < len(rows)
-    select_stream(spark, f"{tmp_path}/in", sink, f"{tmp_path}/check", C.TEST_TOPICS, files=1).awaitTermination(120)
+    select_stream(json_documents(spark, f"{tmp_path}/in", 1), sink, f"{tmp_path}/check", C.TEST_TOPICS).awaitTermination(120)
     want = expected(rows, 6)
     assert found(spark, sink) == want
     assert {r["stage"]: r["n"] for r in stage_counts(spark, sink).collect()} == Counter(s for s, _ in want.values())
     # nothing new: nothing changes
-    select_stream(spark, f"{tmp_path}/in", sink, f"{tmp_path}/check", C.TEST_TOPICS, files=1).awaitTermination(120)
+    select_stream(json_documents(spark, f"{tmp_path}/in", 1), sink, f"{tmp_path}/check", C.TEST_TOPICS).awaitTermination(120)
     assert found(spark, sink) == want
 
 
@@ -90,7 +90,7 @@ def test_snapshots_while_it_runs(spark, tmp_path):
         seen.append(now)
 
     try:
-        select_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", C.TEST_TOPICS, files=1, then=look).awaitTermination(120)
+        select_stream(json_documents(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/check", C.TEST_TOPICS, then=look).awaitTermination(120)
         for _ in range(100):
             if progress.get(path)["state"] == "done":
                 break
