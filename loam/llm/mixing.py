@@ -111,11 +111,12 @@ def ordered(docs: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     p = plan(docs.select("doc_id", "source", "text")).select(_same(F.col("doc_id"), F.col("source"), F.col("k")).alias("key"), "position", place.alias("places"))
-    p = p.select("key", "places", F.row_number().over(Window.partitionBy("key").orderBy(F.col("position").asc_nulls_last())).alias("n"))
+    p = p.select("key", "places", F.row_number().over(Window.partitionBy("key").orderBy(F.col("position").asc_nulls_last())).alias("m"))
     mine = boxed(docs, key=_same(F.col("doc_id"), F.col("source"), F.xxhash64("text")))
     mine = mine.select("_doc", "key", F.row_number().over(Window.partitionBy("key").orderBy("key")).alias("m"))
-    # the number is no join key, so that both sides stay where their windows have put them
-    j = mine.join(p.filter(F.size("places") > 0), "key").filter("m <= n AND m >= n").select("_doc", F.explode("places").alias("train_position"))
+    # the number is a join key, so repeated rows meet one place each; both sides stay where their windows have put them, by key
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    j = mine.join(p.filter(F.size("places") > 0), ["key", "m"]).select("_doc", F.explode("places").alias("train_position"))
     return j.repartitionByRange("train_position", "_doc.doc_id").sortWithinPartitions("train_position", "_doc.doc_id")
 
 

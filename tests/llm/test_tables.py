@@ -218,3 +218,18 @@ def test_brackets_hold_and_prune():
 def test_large_components_are_exact():
     q = np.array([[1 << 27, -(1 << 27), 12345]])
     assert negatives.exact(q, q).tolist() == [[2 * (1 << 54) + 12345**2]]
+
+
+def test_repeated_rows_each_get_one_place(spark):
+    """Rows that share id, source and text meet by number: the join's rows are those of its sides, and neither side moves for it."""
+    from loam.llm import mixing
+
+    rows = [(1, "same words here", f"l{i % 3}", "s") for i in range(4000)] + [(2 + i, f"other {i} " * 3, "l", "t") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.ordered(df)
+    plan = mixing.plan(df.select("doc_id", "source", "text"))
+    copies = plan.select((F.when(2 * F.col("_first") >= F.col("size"), 1).otherwise(0) + F.when(2 * F.col("_second") >= F.col("size"), 1).otherwise(0)).alias("n"))
+    assert mix.count() == copies.agg(F.sum("n")).first()[0]
+    text = mix._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in text.split("\n") if "SortMergeJoin" in x and "key" in x and "m" in x]
+    assert any("[key" in x and ", m" in x for x in joins)
