@@ -79,7 +79,7 @@ def _(spark, sf):
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return judged(X.docs(spark, sf).withColumnRenamed("doc_id", "ord"))
+    return judged(X.spread(X.docs(spark, sf)).withColumnRenamed("doc_id", "ord"))
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -16,8 +16,14 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows dealt to all cores where their files make fewer tasks than that, as a small table or one row group does; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", "source", "lang", T.normalise_text(F.col("text")).alias("t"))
+    return spread(docs(spark, sf)).select("doc_id", "source", "lang", T.normalise_text(F.col("text")).alias("t"))
 
 
 def measured(df: DataFrame, c: str = "t", *keep: str) -> DataFrame:
@@ -30,7 +36,7 @@ def once(df: DataFrame, made: Column) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", "source", "lang", F.expr(D.DERIVED).alias("text"))
+    return spread(docs(spark, sf)).select("doc_id", "source", "lang", F.expr(D.DERIVED).alias("text"))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
