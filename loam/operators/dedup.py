@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import tempfile
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from loam.config import checked_near
 from loam.functions import text as T
 
-PRIME = (1 << 31) - 1
+#: 2^61 = 1 modulo this prime, so products fold back by shifts.
+PRIME = (1 << 61) - 1
+_LOW = (1 << 31) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +47,29 @@ def permutations(d: Mapping, prime: int = PRIME) -> list[tuple[int, int]]:
     return [(r.randrange(1, prime), r.randrange(0, prime)) for _ in range(d["num_perm"])]
 
 
+def residue(h: Column) -> Column:
+    """A long, taken as 64 bits without sign, modulo PRIME."""
+    return F.pmod(F.shiftrightunsigned(h, 61) + h.bitwiseAND(F.lit(PRIME)), F.lit(PRIME))
+
+
+def permuted(high: Column, low: Column, a: int, b: int) -> Column:
+    """``(a * x + b) % PRIME`` of ``x = high * 2^31 + low`` below PRIME, in longs that can't overflow.
+
+    Of the product's three parts the top one counts twice, as 2^62 = 2; the middle one is cut at its 30th bit, as 2^31 * 2^30 = 1.
+    """
+    a1, a0 = F.lit(a >> 31), F.lit(a & _LOW)
+    middle, bottom = high * a0 + low * a1, low * a0
+    folded = F.shiftrightunsigned(middle, 30) + F.shiftleft(middle.bitwiseAND(F.lit((1 << 30) - 1)), 31)
+    total = high * a1 * 2 + folded + F.shiftrightunsigned(bottom, 61) + bottom.bitwiseAND(F.lit(PRIME))
+    return F.pmod(F.pmod(total, F.lit(PRIME)) + F.lit(b), F.lit(PRIME))
+
+
 def signatures(sh: DataFrame, d: Mapping) -> DataFrame:
     """``sh`` (ord, shingles) to (ord, sig). Minima combine within each task; a text of no shingles has all primes."""
-    x = F.pmod(F.col("h"), F.lit(PRIME))
-    mins = [F.coalesce(F.min(F.pmod(x * a + b, F.lit(PRIME))), F.lit(PRIME).cast("long")) for a, b in permutations(d)]
-    return sh.select("ord", F.explode_outer("shingles").alias("h")).groupBy("ord").agg(F.array(*mins).alias("sig"))
+    x = sh.select("ord", F.explode_outer("shingles").alias("h")).select("ord", residue(F.col("h")).alias("x"))
+    x = x.select("ord", F.shiftright("x", 31).alias("high"), F.col("x").bitwiseAND(F.lit(_LOW)).alias("low"))
+    mins = [F.coalesce(F.min(permuted(F.col("high"), F.col("low"), a, b)), F.lit(PRIME)) for a, b in permutations(d)]
+    return x.groupBy("ord").agg(F.array(*mins).alias("sig"))
 
 
 def bands(sig: DataFrame, d: Mapping) -> DataFrame:
@@ -136,7 +156,7 @@ def greedy(sh: DataFrame, d: Mapping, heads: int = HEADS) -> tuple[DataFrame, Da
     return none, buckets
 
 
-def near(docs: DataFrame, d: Mapping, heads: int = HEADS) -> DataFrame:
+def near(docs: DataFrame, d: Mapping, heads: int = HEADS, shingles: Callable[[Column, int], Column] = T.shingles) -> DataFrame:
     """``docs`` (ord, sha, words: array) to (ord, verdict, duplicate_of, jaccard): accepted, exact_duplicate or near_duplicate.
 
     Texts of equal content share one's shingles, and those of equal shingle sets one set: only the first of them can be accepted, and all that is
@@ -144,7 +164,7 @@ def near(docs: DataFrame, d: Mapping, heads: int = HEADS) -> DataFrame:
     """
     checked_near(d)
     all_ = settled(exact(docs.select("ord", "sha")))
-    firsts = docs.join(all_.filter("ord = first").select("ord"), "ord").select("ord", T.shingles(F.col("words"), d["shingle_size"]).alias("shingles"))
+    firsts = docs.join(all_.filter("ord = first").select("ord"), "ord").select("ord", shingles(F.col("words"), d["shingle_size"]).alias("shingles"))
     firsts = settled(firsts.withColumn("set", F.sha2(F.array_join(F.array_sort("shingles").cast("array<string>"), ","), 256)))
     least = firsts.groupBy("set").agg(F.min("ord").alias("node"))
     sets = settled(firsts.select("ord", "set").join(least, "set").select(F.col("ord").alias("first"), "node"))

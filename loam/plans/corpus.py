@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam import config as C
+from loam.functions import digests
 from loam.functions import text as T
 from loam.operators import bpe, classify, dedup, instructions, quality, reports, tokens, unigram
 from loam.plans import duck as D
@@ -110,10 +111,10 @@ _SH = f"""sh0 AS (SELECT ord, list_transform({D.words('t')}, lambda x: lower(x))
 sh AS (SELECT DISTINCT ord, ('0x' || substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 15))::BIGINT AS h FROM sh0, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(i) WHERE len(w) > 0)"""
 
 
-def shingled(spark: SparkSession, sf: str) -> DataFrame:
+def shingled(spark: SparkSession, sf: str, shingles=T.shingles) -> DataFrame:
     p = dedup.settled(passed(spark, sf).select("ord", "sha", "words"))
     first = dedup.exact(p.select("ord", "sha")).filter("ord = first").select("ord")
-    return p.join(first, "ord").select("ord", T.shingles(F.col("words"), DEDUP["shingle_size"]).alias("shingles"))
+    return p.join(first, "ord").select("ord", shingles(F.col("words"), DEDUP["shingle_size"]).alias("shingles"))
 
 
 @query("word_shingles", f"WITH {_PASS}, {_SH} SELECT ord AS doc_id, count(*)::BIGINT AS n, min(h) AS least, bit_xor(h) AS mixed FROM sh GROUP BY ord")
@@ -123,7 +124,7 @@ def _(spark, sf):
 
 
 _PERM = dedup.permutations(DEDUP)
-_SIG = "sg AS (SELECT ord, [" + ", ".join(f"min(({a} * (h % {dedup.PRIME}) + {b}) % {dedup.PRIME})" for a, b in _PERM) + "] AS sig FROM sh GROUP BY ord)"
+_SIG = "sg AS (SELECT ord, [" + ", ".join(f"min(({a}::HUGEINT * (h % {dedup.PRIME}) + {b}) % {dedup.PRIME})::BIGINT" for a, b in _PERM) + "] AS sig FROM sh GROUP BY ord)"
 
 
 @query("minhash_signature", f"WITH {_PASS}, {_SH}, {_SIG} SELECT ord AS doc_id, array_to_string(sig, ',') AS sig FROM sg")
@@ -131,6 +132,17 @@ def _(spark, sf):
     return dedup.signatures(shingled(spark, sf), DEDUP).select(F.col("ord").alias("doc_id"), F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
+@query("blake2b_signature")
+def _(spark, sf):
+    sh = dedup.settled(shingled(spark, sf, digests.shingles))
+    return dedup.signatures(sh, DEDUP).join(sh, "ord").select(F.col("ord").alias("doc_id"), F.size("shingles").alias("n"), "sig")
+
+
+@query("blake2b_near_dedup")
+def _(spark, sf):
+    return dedup.near(dedup.settled(passed(spark, sf).select("ord", "sha", "words")), DEDUP, shingles=digests.shingles).withColumnRenamed("ord", "doc_id")
+
+
 @query("lsh_candidates", f"""WITH {_PASS}, {_SH}, {_SIG}, b AS (SELECT ord, i AS band, array_to_string(sig[i * 4 + 1:i * 4 + 4], ',') AS key FROM sg, unnest(generate_series(0, 15)) AS g(i))
 SELECT DISTINCT x.ord AS l, y.ord AS r FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.ord < y.ord""")
 def _(spark, sf):
