@@ -7,6 +7,7 @@ Spark's own committer: a lost executor or a second attempt leaves no half shard,
 
 Edge cases: null and empty texts hold the end id only; rows with a null id come first; rows that repeat an id follow
 each other, by text; a document longer than a shard gets a shard of its own size; an empty table gives an empty file.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

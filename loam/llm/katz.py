@@ -17,6 +17,7 @@ All are written tables. The driver sees sums and counts of counts only.
 
 Edge cases: null and empty texts have the end token only; repeated rows each count and each get a score; a null id counts as the
 empty text in the choice of training rows; no training rows: every word is unknown; an empty table gives no rows.
+A text of any length is scored whole, and a chunk grows to hold it; nothing is ordered, so there are no ties; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

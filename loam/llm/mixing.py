@@ -4,7 +4,7 @@ Each source has a weight schedule over training time t in [0, 1]: its base weigh
 The integral of the schedule is its share of the mix, its running integral the cumulative token demand
 ``D(t) = target * (t + slope * (t*t - t) / 2)``. A source's documents, in hash order and epoch after epoch, lie
 end to end on its token axis; a document trains at the t at which the demand reaches its first token, which is D
-inverted. ``curriculum`` range-sorts the chosen documents by that position.
+inverted. ``curriculum`` range-sorts the chosen documents by that position, and so are the rows of ``op6_mixing`` sorted, those that take nothing last.
 
 Prefix sums are two-level: sums per (source, hash bucket), a running sum over the buckets of a source, and a window
 inside each bucket. So a source with a third of all rows is spread over BUCKETS groups.
@@ -127,7 +127,9 @@ def curriculum(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
-    return plan(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "position", "again_at")
+    order = (F.col("position").asc_nulls_last(), F.col("doc_id"), F.col("size"))
+    p = written(plan(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "position", "again_at"), "places")
+    return p.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 OP6_SQL = r"""

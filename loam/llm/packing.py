@@ -13,7 +13,6 @@ then follow the order from range to range, at the cost of about one sequence a r
 Edge cases: null texts are empty and have the end id only; longer documents are cut into pieces of ``capacity``, the first
 one takes the remainder; repeated rows are packed once each; ties of rank go by id, piece and checksum, and rows equal in
 all of these are interchangeable; an empty table gives no rows. A text of any length is encoded whole; other columns, whatever their
-names, are not read. A text of any length is encoded whole; other columns, whatever their
 names, are not read.
 """
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import let, words
+from loam.llm.common import boxed, let, words
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def apply_policy(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES
 
 def accepted(docs: DataFrame, policy: Policy = FULL, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the policy keeps; one projection and a filter."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("text"))
+    held = boxed(docs, text=F.col("text"))
     return apply_policy(ledger(held, rules, id_col="_doc"), policy, rules).filter("kept").select("_doc.*")
 
 

@@ -13,7 +13,8 @@
 
 Edge cases: null or empty texts have fingerprint 0 and link to each other; texts with fewer words than a shingle have one shingle of
 all their words; rows that repeat an id each get a row; a null id counts only where a component has no other; an empty table
-gives no rows.
+gives no rows. A text of any length is read whole. Fingerprints at equal distances all link, so there are no ties to break. Other columns, whatever their names, are
+not read, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations

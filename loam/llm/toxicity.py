@@ -7,10 +7,11 @@ attention; a document's score is its highest window's, calibrated on the trainin
 Training is by document labels alone: of a toxic document the windows that the model finds most toxic are its positive
 examples (at first those with the words most over-represented in toxic documents), of others random windows and the
 highest ones. It uses at most TRAIN_DOCS labelled documents (a documented bound, the least of a hash), none of them held out. Every
-window of every whole text is scored; distinct words of a batch are embedded once, and windows advance in step.
+window that starts at a STRIDE-th word of a whole text is scored, so every word of it is in one; distinct words of a batch are embedded once, and windows advance in step.
 
 Edge cases: null and empty texts have one empty window and a low score; repeated rows get a score each; conflicting
-labels of an id each count; without labels of both kinds every score is 0; an empty table gives no rows.
+labels of an id each count; documents of equal scores are equal in ``predicted``, and windows of equal logits are interchangeable; a text of any length is
+scored whole, windows few at once; a null id isn't held out and has no label; other columns, whatever their names, are not read; without labels of both kinds every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
