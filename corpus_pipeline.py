@@ -1,12 +1,18 @@
 """From raw documents to packed training sequences.
 
 Each stage works on all rows of the one before, written as Parquet and read again. Stages but the last keep the columns of documents.
+
+Edge cases, as the operators that the stages call define them: null and empty texts have no words and go with the quality rules, where a stage is called alone they
+pass near_dedup as one class, keep nothing in substring_dedup, take nothing in mix and are the end id in pack; texts of any length are worked on whole; of equal
+rows near_dedup keeps one, and those that reach mix or pack alone each have a place; ties go by id; an empty table gives no rows at every stage; further columns,
+whatever their names, stay until pack.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loam.llm import mixing, packing, quality, simhash, substrings
 from loam.llm.common import documents, written
@@ -33,7 +39,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs each file of the stage before by itself, so that sequences follow the curriculum from file to file."""
     try:
-        order = docs.metadataColumn("_metadata")["file_path"]
+        path = docs.metadataColumn("_metadata")["file_path"]
+        # files by their numbers, which have more digits from 100,000 files on
+        order = F.concat(F.lpad(F.regexp_extract(path, r"part-(\d+)[^/]*$", 1), 12, "0"), F.lit(" "), path)
         docs.select(order)
     except AnalysisException:  # rows that aren't read from files have no order
         order = None
