@@ -3,11 +3,13 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam import config as C
+from loam.functions import digests
 from loam.functions import text as T
 from loam.operators import bpe, dedup, quality, unigram
 
@@ -223,3 +225,32 @@ def test_unigram_vocabulary(spark):
     assert math.isclose(sum(math.exp(r["score"]) for r in v[4:]), 1, rel_tol=1e-6)
     none = unigram.vocabulary(spark.createDataFrame([("",), (None,)], "text string"), 50).collect()
     assert [r["piece"] for r in none] == list(bpe.SPECIALS)
+
+
+def test_near_keeps_no_words(spark):
+    """What is kept on the way is digests, and sets of those texts alone that share a band with another: far fewer bytes than the texts' words."""
+    top = dedup.shared_dir(spark).removeprefix("file://")
+    bytes_ = lambda: sum(p.stat().st_size for p in Path(top).rglob("*") if p.is_file())
+    r = random.Random(5)
+    rows = [(o, f"s{o}", [f"w{r.randrange(10**9)}" for _ in range(2000)]) for o in range(300)] + [(900, "twice", [f"v{j}" for j in range(2000)]), (901, "again", [f"v{j}" for j in range(2000)] + ["end"])]
+    df = spark.createDataFrame(rows, "ord long, sha string, words array<string>")
+    before = bytes_()
+    got = {r["ord"]: r["verdict"] for r in dedup.near(df, C.NEAR).collect()}
+    assert [o for o, v in got.items() if v != "accepted"] == [901]
+    assert bytes_() - before < 2_000_000  # 600,000 words, and as many shingles of 8 bytes
+
+
+@pytest.mark.parametrize("words", [[], ["One"], ["a", "B", "c"], [f"W{i % 7}" for i in range(60)], ["ÄÖ", "ΑΣ", "ſt", "日本", "a", "b", "ÄÖ"]])
+def test_shingles_by_batches_are_those_of_spark(spark, words):
+    df = dedup.settled(spark.createDataFrame([(1, words), (2, None)], "ord long, words array<string>").filter("ord = 1"))
+    a, b = df.select(T.shingles(F.col("words"), 5).alias("a"), digests.md5_shingles(F.col("words"), 5).alias("b")).first()
+    assert a == b
+
+
+def test_minima_of_numbers_in_python(spark):
+    r = random.Random(6)
+    sets = [[], [0], [-1], [dedup.PRIME], [r.randrange(-(2**63), 2**63) for _ in range(1300)]]
+    df = spark.createDataFrame(list(enumerate(sets)), "ord long, shingles array<long>")
+    got = {x["ord"]: x["sig"] for x in dedup.signatures(df, C.NEAR).collect()}
+    for o, s in enumerate(sets):
+        assert got[o] == [min(((a * (x % 2**64 % dedup.PRIME) + b) % dedup.PRIME for x in s), default=dedup.PRIME) for a, b in dedup.permutations(C.NEAR)]
