@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.operators.dedup import settled, small_batches
+
 _loaded: dict = {}
 
 
@@ -17,17 +22,32 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Bytes of text that are encoded at once, about.
+PART = 1 << 18
+
+
 def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bool = False) -> DataFrame:
-    """``docs`` (ord, text) to (ord, ids) by a SentencePiece model, in Arrow batches."""
+    """``docs`` (ord, text) to (ord, ids) by a SentencePiece model, in Arrow batches of bounded bytes; ids are 32-bit arrays, never lists of all of a batch."""
     path = model or _piece_model()
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        for t in texts:
-            yield pd.Series(sp.encode(t.fillna("").tolist(), num_threads=1, add_bos=bos, add_eos=eos))
+        for batch in texts:
+            lens, parts = [], [np.zeros(0, np.int32)]
+            said, size = [], 0
+            for k, t in enumerate(batch, 1):
+                said.append(t.as_py() or "")
+                size += len(said[-1])
+                if size >= PART or k == len(batch):
+                    found = sp.encode(said, num_threads=1, add_bos=bos, add_eos=eos)
+                    lens += map(len, found)
+                    parts += [np.array(x, np.int32) for x in found]
+                    said, size = [], 0
+            yield pa.ListArray.from_arrays(pa.array([0, *accumulate(lens)], pa.int32()), pa.array(np.concatenate(parts)))
 
     return docs.select("ord", ids("text").alias("ids"))
 
@@ -35,6 +55,7 @@ def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bo
 def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``docs`` (ord, ids) to (ord, text): what ``encode`` has made of a text, put together again."""
     path = model or _piece_model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -59,25 +80,26 @@ def require_vocabulary(size: int, model: str | None = None) -> None:
 def blocks(docs: DataFrame, ctx: int) -> DataFrame:
     """``docs`` (ord, ids) laid end to end in order and cut into whole blocks: (block, ids, y), where y is ids shifted by one token.
 
-    A document's place is a sum over ranges of ord, then over the documents of its range; its parts go to the blocks they fall in. At least one
-    block is made, and the last token of the stream never starts one.
+    A document's place is a sum over ranges of ord, then over the documents of its range, where tokens move once: blocks inside a range are made there, and
+    only parts of blocks that reach from one range into the next move again. At least one block is made, and the last token of the stream never starts one.
+    ``docs`` are made once and kept, as lengths and tokens are both asked for.
     """
-    d = docs.select("ord", "ids", F.size("ids").cast("long").alias("n"))
-    sized = d.select("ord", "n", F.floor(F.col("ord") / 4096).alias("g"))
-    sums = sized.groupBy("g").agg(F.sum("n").alias("s"))
+    d = settled(docs.select("ord", "ids", F.size("ids").cast("long").alias("n"), F.floor(F.col("ord") / 4096).alias("g")))
+    sums = settled(d.groupBy("g").agg(F.sum("n").alias("s")))
     before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select("g", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("o"))
+    offs = sums.select("g", "s", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("o"))  # a row per range
     inside = Window.partitionBy("g").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    at = sized.withColumn("i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offs, "g").select("ord", (F.col("o") + F.col("i")).alias("at"))
     total = sums.agg(F.greatest(F.lit(1), F.floor((F.sum("s") - 1) / ctx)).alias("blocks"))
-    d = d.join(at, "ord").filter("n > 0")
+    d = d.withColumn("i", F.coalesce(F.sum("n").over(inside), F.lit(0))).filter("n > 0").join(F.broadcast(offs), "g").withColumn("at", F.col("o") + F.col("i"))
     # a block also has the token after it, for y
     first, last = F.floor(F.greatest(F.col("at") - 1, F.lit(0)) / ctx), F.floor((F.col("at") + F.col("n") - 1) / ctx)
-    d = d.select("at", "ids", "n", F.explode(F.sequence(first, last)).alias("block"))
+    d = d.select("g", "o", "s", "at", "ids", "n", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("block") * ctx - F.col("at"), F.lit(0))
     hi = F.least((F.col("block") + 1) * ctx + 1 - F.col("at"), F.col("n"))
-    part = d.select("block", "at", F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
-    whole = part.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
+    alone = (F.col("block") * ctx >= F.col("o")) & ((F.col("block") + 1) * ctx < F.col("o") + F.col("s"))
+    part = d.select("g", "block", "at", F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"), alone.alias("alone"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids")
+    whole = part.filter("alone").groupBy("g", "block").agg(joined).select("block", "ids").unionByName(part.filter("NOT alone").groupBy("block").agg(joined))
     return whole.join(F.broadcast(total)).filter("block < blocks").select("block", F.slice("ids", 1, ctx).alias("ids"), F.slice("ids", 2, ctx).alias("y"))  # one row
 
 

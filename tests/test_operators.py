@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from loam import config as C
@@ -203,3 +204,24 @@ def test_sampling(spark):
 def test_parameter_counts():
     assert numeric.parameter_count(8000, 512, 8, 384, 1536) == 17_437_440
     assert numeric.parameter_count(8000, 256, 4, 256, 1024) == 5_263_872
+
+
+def test_blocks_across_ranges(spark):
+    """Texts of many ranges of numbers, some empty, one over several blocks, laid end to end."""
+    r = random.Random(3)
+    docs = [(o, [r.randrange(99) for _ in range(r.choice([0, 1, 2, 5, 300]))]) for o in r.sample(range(60_000), 200)]
+    d = spark.createDataFrame(docs, "ord long, ids array<int>")
+    flat = [x for _, ids in sorted(docs) for x in ids]
+    for ctx in (7, 5000):
+        got = {x["block"]: (x["ids"], x["y"]) for x in tokens.blocks(d, ctx).collect()}
+        assert got == {k: (flat[k * ctx : k * ctx + ctx], flat[k * ctx + 1 : k * ctx + ctx + 1]) for k in range(max(1, (len(flat) - 1) // ctx))}
+
+
+def test_encoding_in_parts(spark, monkeypatch):
+    """Ids are made a few texts at a time, in batches of bounded bytes, and are those of the texts one by one; null is an empty text."""
+    monkeypatch.setattr(tokens, "PART", 64)
+    texts = [None, "", "one text", "wörter " * 90, *[f"t{i}" for i in range(40)]]
+    got = {r["ord"]: r["ids"] for r in tokens.encode(spark.createDataFrame(list(enumerate(texts)), "ord long, text string"), bos=True, eos=True).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens._piece_model())
+    assert got == {i: sp.encode(t or "", add_bos=True, add_eos=True) for i, t in enumerate(texts)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
