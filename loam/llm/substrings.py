@@ -7,9 +7,10 @@ A word goes if a window of WINDOW consecutive words of its document covers it wh
    occurs in two classes or more can be covered; an anchor's windows of a document lie together and make a segment.
 3. Segments are dealt to shards by anchor. Each shard builds an FM-index of its distinct segments and streams them through it by backward
    search; where WINDOW words match, the interval's smallest document decides. Matches become intervals of words.
-4. A passage that very many documents hold gives anchors of very many segments. Those of more segments than a bound are cut finer, into
-   their single windows: equal ones are first put together by a 128-bit hash, in partial sums, and each that is left in two documents or more
-   goes to a shard by its hash, where the same index finds its smallest document. So no shard gets a group that grows with the corpus.
+4. A passage that very many documents hold gives anchors of very many segments. Of those of more segments than a bound, equal segments are first put
+   together by a 128-bit hash, in partial sums: of all but the smallest document the whole segment goes. Each distinct one is then cut finer, into its single
+   windows, put together in the same way, and each that is left in two documents or more goes to a shard by its hash, where the same index finds its
+   smallest document. So no shard gets a group that grows with the corpus, and windows are made of distinct segments only.
 
 Edge cases: null and empty texts have no words; documents shorter than a window lose nothing; rows that repeat an id are judged by
 that id, so they don't remove each other; a null id counts as larger than all others; an empty table gives no rows; a text of any length is
@@ -100,19 +101,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 _SEG = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("starts", pa.int32()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
 _SEG_SQL = "shard long, id long, key long, at long, starts int, words binary, w1 long, w2 long"
-#: Windows that a task remembers to have given the words of.
+#: Segments or windows that a task remembers to have given the words of.
 REMEMBERED = 500_000
 
 
-def _segments(window: int, gram: int, shards: int, hot: int):
-    """Of candidates (id, key, text, hits: anchors of two classes or more, with their number of segments): segments, and single windows of hot
-    anchors (shard -1), with the words where this task meets a window first."""
+class _Met:
+    """128-bit hashes of words, and whether this task meets them first, as far as it remembers."""
 
-    def run(batches):
+    def __init__(self):
+        self.met: set[bytes] = set()
+
+    def of(self, said: bytes) -> tuple[int, int, bool]:
         import xxhash
 
+        digest = xxhash.xxh3_128_digest(said)
+        new = digest not in self.met
+        if new and len(self.met) < REMEMBERED:
+            self.met.add(digest)
+        return *struct.unpack("<qq", digest), new
+
+
+def _segments(window: int, gram: int, shards: int, hot: int):
+    """Of candidates (id, key, text, hits: anchors of two classes or more, with their number of segments): segments; those of hot anchors (shard -1) with
+    their hash, and with the words where this task meets them first."""
+
+    def run(batches):
         common.lean()
-        hashes, met = common.Shingles(1), set()
+        hashes, met = common.Shingles(1), _Met()
         for b in batches:
             cols: list[list] = [[] for _ in _SEG]
             for i, key, text, hits in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text", "hits")), strict=True):
@@ -127,25 +142,42 @@ def _segments(window: int, gram: int, shards: int, hot: int):
                     n = wanted.get(anchor)
                     if n is None:
                         continue
+                    said = b" ".join(w[lo : lo + y - x + window - 1])
                     if n <= hot:
-                        rows = [(anchor % shards, i, key, lo, y - x, b" ".join(w[lo : lo + y - x + window - 1]), None, None)]
+                        row = (anchor % shards, i, key, lo, y - x, said, None, None)
                     else:
-                        rows = []
-                        for s in range(lo, lo + y - x):
-                            said = b" ".join(w[s : s + window])
-                            digest = xxhash.xxh3_128_digest(said)
-                            new = digest not in met
-                            if new and len(met) < REMEMBERED:
-                                met.add(digest)
-                            rows.append((-1, i, key, s, 1, said if new else None, *struct.unpack("<qq", digest)))
-                    for row in rows:
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
+                        w1, w2, new = met.of(said)
+                        row = (-1, i, key, lo, y - x, said if new else None, w1, w2)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEG, strict=True)], schema=_SEG)
 
     return run
 
 
+_WINDOWS = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+_WINDOWS_SQL = "v1 long, v2 long, id long, at long, words binary, w1 long, w2 long"
+
+
+def _windows(window: int):
+    """Of distinct segments (v1, v2, id, words): their windows, by their place in the segment."""
+
+    def run(batches):
+        met = _Met()
+        for b in batches:
+            cols: list[list] = [[] for _ in _WINDOWS]
+            for v1, v2, i, said in zip(*(b.column(c).to_pylist() for c in ("v1", "v2", "id", "words")), strict=True):
+                w = said.split(b" ")
+                for s in range(len(w) - window + 1):
+                    part = b" ".join(w[s : s + window])
+                    w1, w2, new = met.of(part)
+                    for c, v in zip(cols, (v1, v2, i, s, part if new else None, w1, w2), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _WINDOWS, strict=True)], schema=_WINDOWS)
+
+    return run
+
+
 _RUNS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
 _RUNS_SQL = "id long, key long, lo long, hi long, w1 long, w2 long"
 
@@ -214,20 +246,28 @@ def find(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: tuple[int
     common.python_ready(spark)
     segs = common.written(cand.mapInArrow(_segments(window, gram, shards, above), _SEG_SQL), "segments")
     dealt = segs.filter("shard >= 0")
-    alone = segs.filter("shard < 0").select("w1", "w2", "id", "key", "at")
-    kinds = alone.groupBy("w1", "w2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
-    kinds = common.written(kinds.filter("id <> last").drop("last"), "windows")
-    if kinds.head(1):
-        said = segs.filter("shard < 0 AND words is not null").select("w1", "w2", "words")
-        said = said.join(kinds.select("w1", "w2", "id"), ["w1", "w2"]).dropDuplicates(["w1", "w2"])
+    alone = segs.filter("shard < 0").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "id", "key", "at", "starts", "words")
+    kinds = common.written(alone.groupBy("v1", "v2").agg(F.min("id").alias("least"), F.count("*").alias("n")), "segment-kinds")
+    hottest = bool(kinds.head(1))
+    if hottest:
+        said = alone.filter("words is not null").select("v1", "v2", "words").join(kinds.select("v1", "v2", F.col("least").alias("id")), ["v1", "v2"]).dropDuplicates(["v1", "v2"])
+        alone = common.written(common.join_unique(alone.drop("words"), kinds, ["v1", "v2"], "n", segments), "hot-segments")
+        wins = common.written(said.mapInArrow(_windows(window), _WINDOWS_SQL), "windows")
+        seen = wins.groupBy("w1", "w2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
+        seen = common.written(seen.filter("id <> last").drop("last"), "window-kinds")
+        said = wins.filter("words is not null").select("w1", "w2", "words")
+        said = said.join(seen.select("w1", "w2", "id"), ["w1", "w2"]).dropDuplicates(["w1", "w2"])
         one = said.select(F.pmod("w1", F.lit(shards)).alias("shard"), "id", F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("at"), F.lit(1).alias("starts"), "words", "w1", "w2")
         dealt = dealt.unionByName(one)
     found = common.written(dealt.groupBy("shard").applyInArrow(_search(window), _RUNS_SQL), "found")
     runs = found.filter("w1 is null").select("id", "key", "lo", "hi")
-    if kinds.head(1):
-        first = found.filter("w1 is not null").select("w1", "w2", F.col("id").alias("least")).join(kinds.select("w1", "w2", "n"), ["w1", "w2"])
-        late = common.join_unique(alone, first, ["w1", "w2"], "n", total).filter("id > least")
-        runs = runs.unionByName(late.select("id", "key", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+    if hottest:
+        first = found.filter("w1 is not null").select("w1", "w2", F.col("id").alias("least")).join(seen.select("w1", "w2", "n"), ["w1", "w2"])
+        late = common.join_unique(wins.drop("words"), first, ["w1", "w2"], "n", segments).filter("id > least").select("v1", "v2", F.col("at").alias("s"))
+        # copies in larger documents go whole; of the smallest one the windows that others have
+        runs = runs.unionByName(alone.filter("id > least").select("id", "key", F.col("at").alias("lo"), (F.col("at") + F.col("starts") + (window - 1)).alias("hi")))
+        cut_ = alone.filter("id = least").select("v1", "v2", "id", "key", "at").join(late, ["v1", "v2"])
+        runs = runs.unionByName(cut_.select("id", "key", (F.col("at") + F.col("s")).alias("lo"), (F.col("at") + F.col("s") + window).alias("hi")))
     runs = runs.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     return every, cand.select("id", "key", "text"), common.written(runs, "runs")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from test_llm import SCHEMA, rows, words
 
 import corpus_pipeline
-from loam.llm import extraction, media, mixing, packing, quality, simhash, toxicity
+from loam.llm import common, extraction, media, mixing, packing, quality, simhash, substrings, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +145,27 @@ def test_files_by_number(spark, tmp_path):
         os.rename(f"{tmp_path}/{n}/{made}", f"{tmp_path}/docs/part-{n:05d}-x.parquet")
     got = {r["doc_id"]: r["sequence_id"] for r in corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()}
     assert got[1] < got[2]
+
+
+def test_a_passage_of_many_documents_makes_few_windows(spark, monkeypatch):
+    """400 documents hold a passage and 300 more are near copies of one text: windows are made of distinct segments, not of each document's."""
+    passage, base = [f"p{j}" for j in range(120)], [f"b{j}" for j in range(200)]
+    say = lambda i: " ".join([f"x{i}", *passage, f"y{i}"])
+    near = lambda i: " ".join([*base[: 20 + i % 5], f"z{i % 5}", *base[21 + i % 5 :], f"end{i}"])
+    texts = [(i, say(i)) for i in range(400)] + [(1000 + i, near(i)) for i in range(300)] + [(1000, near(7)), (None, say(1)), (None, say(2000))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    made = {}
+    written = common.written
+    monkeypatch.setattr(common, "written", lambda df, tag, *a: made.setdefault(tag, written(df, tag, *a)))
+    got = Counter(map(tuple, substrings.judged(*substrings.find(docs, hot=(20, 20))).select(F.coalesce("doc_id", F.lit(substrings.LAST)), "n_words", "n_removed").collect()))
+    docs_ = [(substrings.LAST if i is None else i, t.split()) for i, t in texts]
+    first: dict = {}
+    for i, w in docs_:
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), i), i)
+    want = Counter()
+    for i, w in docs_:
+        gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        want[i, len(w), len(gone)] += 1
+    assert got == want
+    assert made["segments"].count() + made["windows"].count() < 20_000  # of about 75,000 windows in all
