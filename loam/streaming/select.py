@@ -21,21 +21,31 @@ ROWS = "id string, licence string, category string, stage string, duplicate_of s
 
 def judged(docs: DataFrame, lexicon: Lexicon, limits: tuple[Limit, ...]) -> DataFrame:
     """``docs`` (id, text, licence), static or a stream, with the first stage that each row fails; rows are judged alone."""
-    d = docs.withColumn("t", T.normalise_text(F.col("text")))
+    d = docs.select("id", "licence", T.normalise_text(F.col("text")).alias("t"))
     bad = quality.reasons(quality.metrics(F.col("t")), limits)
-    lic = classify.licence_of_value(F.col("licence"))
-    cat = classify.classify_text(F.col("t"), lexicon)
-    stage = F.when(F.col("id").isNull() | lic.isNull(), STAGES[0]).when(cat.isNull(), STAGES[1]).when(F.size(bad) > 0, STAGES[2]).otherwise(STAGES[4])
-    return d.select("id", lic.alias("licence"), cat.alias("category"), stage.alias("stage"), F.lit(None).cast("string").alias("duplicate_of"), F.col("t").alias("text"))
+    found = F.struct(classify.licence_of_value(F.col("licence")).alias("lic"), classify.classify_text(F.col("t"), lexicon).alias("category"), F.size(bad).alias("bad"))
+    # a struct in an array of one: what it holds is worked out once a row, however often it is named after
+    d = d.select("id", "t", F.inline(F.array(found)))
+    stage = F.when(F.col("id").isNull() | F.col("lic").isNull(), STAGES[0]).when(F.col("category").isNull(), STAGES[1]).when(F.col("bad") > 0, STAGES[2]).otherwise(STAGES[4])
+    return d.select("id", F.col("lic").alias("licence"), "category", stage.alias("stage"), F.lit(None).cast("string").alias("duplicate_of"), F.col("t").alias("text"))
+
+
+#: Groups that rows which failed a stage pass the state in; they leave nothing there.
+FAILED = 4096
 
 
 def first_of_each(rows: DataFrame) -> DataFrame:
-    """A stream's ``rows`` (ROWS) with all but the first of each text marked as duplicates of it; the texts' digests met so far are state.
+    """A stream's ``rows`` (ROWS) with all but the first of each text that passed marked as duplicates of it; the texts' digests met so far are state.
 
-    Of one trigger's rows the least id is first. A text's rows of one trigger are together in memory, so what a trigger reads bounds them.
+    Of one trigger's rows the least id is first. A text's rows of one trigger are together in memory, so what a trigger reads bounds them. Rows that failed
+    go through as they are, so that the stream is judged once and not for each of two branches.
     """
 
     def mark(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0].startswith("-"):
+            for part in parts:
+                yield part.drop(columns="sha")
+            return
         rows = pd.concat(list(parts)).sort_values("id", kind="stable").reset_index(drop=True)
         if state.exists:
             (first,), known = state.get, 0
@@ -46,7 +56,8 @@ def first_of_each(rows: DataFrame) -> DataFrame:
         rows.loc[known:, "duplicate_of"] = first
         yield rows.drop(columns="sha")
 
-    keyed = rows.withColumn("sha", T.content_hash(F.col("text"))).groupBy("sha")
+    group = F.concat(F.lit("-"), F.pmod(F.xxhash64("id", "text"), F.lit(FAILED)).cast("string"))
+    keyed = rows.withColumn("sha", F.when(F.col("stage") == STAGES[4], T.content_hash(F.col("text"))).otherwise(group)).groupBy("sha")
     return keyed.applyInPandasWithState(mark, ROWS, "first string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -64,9 +75,7 @@ def select_stream(
     writes its own part again, so neither loses nor doubles rows; ``then`` is called after each. Near duplicates are left to the batch job, as they depend on
     the order of all documents. What is observed of each trigger, as ``scan``, goes to listeners (see ``progress``).
     """
-    d = judged(docs, lexicon, limits)
-    passed = F.col("stage") == STAGES[4]
-    out = d.filter(~passed).unionByName(first_of_each(d.filter(passed)))
+    out = first_of_each(judged(docs, lexicon, limits))
     out = out.observe("scan", F.count("*").alias("scanned"), *[F.count(F.when(F.col("stage") == s, 1)).alias(s) for s in STAGES])
 
     def save(rows: DataFrame, trigger: int) -> None:

@@ -104,3 +104,15 @@ def test_snapshots_while_it_runs(spark, tmp_path):
     assert {s: last["counts"][s] for s in STAGES} == {s: sum(x == s for x, _ in expected(rows, 4).values()) for s in STAGES}
     assert progress.Snapshots(path).now == last
     assert [p.name for p in (tmp_path / "state").iterdir() if not p.name.endswith(".crc")] == ["progress.json"]
+
+
+def test_a_stream_is_read_once(spark, tmp_path):
+    """Each row is read and judged once, whether it passes or fails; what fails leaves no state."""
+    rows = documents()
+    files(tmp_path / "in", rows, 3)
+    q = select_stream(json_documents(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/check", C.TEST_TOPICS)
+    q.awaitTermination(120)
+    assert sum(p["numInputRows"] for p in q.recentProgress) == len(rows)
+    want = expected(rows, 3)
+    assert found(spark, f"{tmp_path}/out") == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) == sum(s == "accepted" for s, _ in want.values())
