@@ -27,6 +27,8 @@ from loam.operators.dedup import settled
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEEDS, ROUNDS, KEEP = 50_000, 2, 0.75
+# fixed value: products below this are left to logarithms; they lose no digits above
+LEAST = 1e-250
 
 
 def seeds(words: DataFrame, size: int, longest: int) -> dict[str, float]:
@@ -104,9 +106,34 @@ def expected(word: str, scores: Mapping[str, float], longest: int) -> tuple[floa
     return ahead[n], counts
 
 
+def expected_fast(word: str, probabilities: Mapping[str, float], longest: int) -> tuple[float, dict[str, float]] | None:
+    """What ``expected`` gives, by products of probabilities instead of sums of their logarithms; None where they come near to the least number there is."""
+    n, get = len(word), probabilities.get
+    ahead, edges = [1.0] + [0.0] * n, []
+    for j in range(1, n + 1):
+        a = 0.0
+        for i in range(max(0, j - longest), j):
+            p = get(piece := word[i:j])
+            if p is not None:
+                a += ahead[i] * p
+                edges.append((i, j, piece, p))
+        ahead[j] = a
+        if a < LEAST:
+            return None
+    back = [0.0] * n + [1.0 / ahead[n]]
+    counts: dict[str, float] = {}
+    # by falling ends, so all that starts at an end is there before
+    for i, j, piece, p in reversed(edges):
+        x = p * back[j]
+        back[i] += x
+        counts[piece] = counts.get(piece, 0.0) + ahead[i] * x
+    return math.log(ahead[n]), counts
+
+
 def _summed(words: DataFrame, scores: Mapping[str, float], longest: int, best: bool) -> tuple[float, dict[str, float]]:
     """The words' log-likelihood and each piece's count: expected ones, or those of the best cuts."""
     shared = words.sparkSession.sparkContext.broadcast(dict(scores))
+    chances = words.sparkSession.sparkContext.broadcast({k: math.exp(v) for k, v in scores.items()})
 
     def run(batches):
         import pyarrow as pa
@@ -120,7 +147,8 @@ def _summed(words: DataFrame, scores: Mapping[str, float], longest: int, best: b
                     for x in pieces:
                         n[x] = n.get(x, 0.0) + c
                 else:
-                    found, counts = expected("".join(p), shared.value, longest)
+                    word = "".join(p)
+                    found, counts = expected_fast(word, chances.value, longest) or expected(word, shared.value, longest)
                     for x, k in counts.items():
                         n[x] = n.get(x, 0.0) + c * k
                 total += c * found

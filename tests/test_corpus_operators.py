@@ -254,3 +254,16 @@ def test_minima_of_numbers_in_python(spark):
     got = {x["ord"]: x["sig"] for x in dedup.signatures(df, C.NEAR).collect()}
     for o, s in enumerate(sets):
         assert got[o] == [min(((a * (x % 2**64 % dedup.PRIME) + b) % dedup.PRIME for x in s), default=dedup.PRIME) for a, b in dedup.permutations(C.NEAR)]
+
+
+def test_expected_counts_by_products():
+    """As by logarithms; words that no product can hold are left to those."""
+    r = random.Random(7)
+    scores = {x: math.log(r.uniform(1e-9, 0.1)) for x in {"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(120)} | {"a", "b", "c"}}
+    chances = {k: math.exp(v) for k, v in scores.items()}
+    for _ in range(60):
+        word = "".join(r.choice("abc") for _ in range(r.randint(0, 25)))
+        (a, x), (b, y) = unigram.expected_fast(word, chances, 5), unigram.expected(word, scores, 5)
+        assert a == pytest.approx(b, abs=1e-9) and all(x[k] == pytest.approx(y.get(k, 0.0), abs=1e-9) for k in x) and set(y) <= set(x)
+    assert unigram.expected_fast("a" * 5000, {"a": 1e-6}, 5) is None
+    assert unigram.expected_fast("ad", chances, 5) is None
