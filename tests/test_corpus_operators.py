@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from loam import config as C
 from loam.functions import digests
 from loam.functions import text as T
 from loam.operators import bpe, dedup, quality, unigram
+from loam.plans import corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +269,35 @@ def test_expected_counts_by_products():
         assert a == pytest.approx(b, abs=1e-9) and all(x[k] == pytest.approx(y.get(k, 0.0), abs=1e-9) for k in x) and set(y) <= set(x)
     assert unigram.expected_fast("a" * 5000, {"a": 1e-6}, 5) is None
     assert unigram.expected_fast("ad", chances, 5) is None
+
+
+def test_curate_keeps_no_rejected_text(spark, tmp_path):
+    """Of a rejected document its measures are kept on the way, of others a digest and the words."""
+    r = random.Random(8)
+    rows = [(o, "".join(chr(r.randrange(33, 48)) for _ in range(20_000)), "en", "s", 20_000) for o in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    top = dedup.shared_dir(spark).removeprefix("file://")
+    bytes_ = lambda: sum(p.stat().st_size for p in Path(top).rglob("*") if p.is_file())
+    before = bytes_()
+    assert corpus.curated(spark, str(tmp_path)).filter("reasons <> ''").count() == 200
+    assert bytes_() - before < 500_000  # of 4,000,000
+
+
+def test_texts_that_are_plain_and_others(spark):
+    """Texts that are normal already take a short way to the same lines and text, those a character off don't."""
+    r = random.Random(12)
+    odd = ["\t", "\r", "\r\n", "\x00", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "  ", " \n", "\n ", "\n\n\n"]
+    plain = ["a b", "A b", "é", "日本", "\U0001f600", "\u200b", "-", "x\ny", "a b\n\nA B"]
+    texts = [" ".join(r.choices(plain, k=r.randint(0, 6))) for _ in range(150)]
+    texts += [t[:k] + x + t[k:] for x in odd for t in r.choices(texts, k=8) for k in {0, len(t), r.randint(0, len(t))}]
+
+    def normal(t):
+        t = "\n".join(re.sub(r"[ \t]+", " ", x).strip() for x in t.replace("\x00", " ").splitlines())
+        return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+    def lines(t):
+        found = [x.strip().lower() for x in t.splitlines() if x.strip()]
+        return sum(n for n in Counter(found).values() if n > 1), len(found)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.normalise_text(F.col("t")).alias("n"), T.duplicate_lines(F.col("t")).alias("d"))
+    assert {x["i"]: (x["n"], tuple(x["d"])) for x in df.collect()} == {i: (normal(t), lines(t)) for i, t in enumerate(texts)}
