@@ -301,3 +301,16 @@ def test_texts_that_are_plain_and_others(spark):
 
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.normalise_text(F.col("t")).alias("n"), T.duplicate_lines(F.col("t")).alias("d"))
     assert {x["i"]: (x["n"], tuple(x["d"])) for x in df.collect()} == {i: (normal(t), lines(t)) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("shingles", [digests.shingles, digests.md5_shingles])
+def test_near_of_words_joined_is_that_of_arrays(spark, shingles):
+    """A text's words as one string, hashed where the signature is made."""
+    r = random.Random(13)
+    base = [[f"B{i}w{j}" for j in range(40)] for i in range(4)]
+    words = [[], ["One"], ["ΑΣ", "ſt", "İ", "日本", "a", "ΣΑ", "ÄÖ"]] + [[f"X{r.randrange(4)}" if r.random() < 0.03 else w for w in base[k % 4]] for k in range(60)]
+    df = spark.createDataFrame([(o, " ".join(w), w) for o, w in enumerate(words)], "ord long, sha string, words array<string>")
+    said = df.withColumn("words", F.array_join("words", " "))
+    d = {**C.NEAR, "jaccard_threshold": 0.6}
+    a, b = ({tuple(x) for x in dedup.near(x, d, shingles=shingles).collect()} for x in (df, said))
+    assert a == b and {x[1] for x in a} == {"accepted", "exact_duplicate", "near_duplicate"}
