@@ -314,3 +314,16 @@ def test_near_of_words_joined_is_that_of_arrays(spark, shingles):
     d = {**C.NEAR, "jaccard_threshold": 0.6}
     a, b = ({tuple(x) for x in dedup.near(x, d, shingles=shingles).collect()} for x in (df, said))
     assert a == b and {x[1] for x in a} == {"accepted", "exact_duplicate", "near_duplicate"}
+
+
+@pytest.mark.parametrize("query", ["reject_reasons"])
+def test_counts_look_for_no_links(spark, monkeypatch, query):
+    """Counts need each text's verdict, not what it is like best; the rows are those of the whole curation."""
+    from loam.plans import registry
+
+    run = registry.queries()[query]
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "curated", lambda spark, sf, links=True, f=corpus.curated: f(spark, sf))
+        want = {tuple(x) for x in run(spark, SF).collect()}
+    monkeypatch.setattr(dedup, "near", None)
+    assert {tuple(x) for x in run(spark, SF).collect()} == want
