@@ -316,7 +316,7 @@ def test_near_of_words_joined_is_that_of_arrays(spark, shingles):
     assert a == b and {x[1] for x in a} == {"accepted", "exact_duplicate", "near_duplicate"}
 
 
-@pytest.mark.parametrize("query", ["reject_reasons", "corpus_totals", "topic_counts"])
+@pytest.mark.parametrize("query", ["reject_reasons", "corpus_totals", "topic_counts", "curation_stats"])
 def test_counts_look_for_no_links(spark, monkeypatch, query):
     """Counts need each text's verdict, not what it is like best; the rows are those of the whole curation."""
     from loam.plans import registry
