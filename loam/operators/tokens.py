@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,11 @@ def _piece_model() -> str:
 PART = 1 << 18
 
 
-def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bool = False) -> DataFrame:
-    """``docs`` (ord, text) to (ord, ids) by a SentencePiece model, in Arrow batches of bounded bytes; ids are 32-bit arrays, never lists of all of a batch."""
+def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bool = False, mark: str | None = None) -> DataFrame:
+    """``docs`` (ord, text) to (ord, ids) by a SentencePiece model, in Arrow batches of bounded bytes; ids are 32-bit arrays, never lists of all of a batch.
+
+    With ``mark``, a text holds documents that it ends: each is stripped and encoded by itself, with its own first and last id, and blank ones are dropped.
+    """
     path = model or _piece_model()
     small_batches(docs.sparkSession)
 
@@ -38,15 +41,20 @@ def encode(docs: DataFrame, model: str | None = None, bos: bool = False, eos: bo
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in texts:
             lens, parts = [], [np.zeros(0, np.int32)]
-            said, size = [], 0
+            said, held, size = [], [], 0
             for k, t in enumerate(batch, 1):
-                said.append(t.as_py() or "")
-                size += len(said[-1])
+                text = t.as_py() or ""
+                own = [x for c in text.split(mark) if (x := c.strip())] if mark else [text]
+                said += own
+                held.append(len(own))
+                size += len(text)
                 if size >= PART or k == len(batch):
-                    found = sp.encode(said, num_threads=1, add_bos=bos, add_eos=eos)
-                    lens += map(len, found)
-                    parts += [np.array(x, np.int32) for x in found]
-                    said, size = [], 0
+                    found = iter(sp.encode(said, num_threads=1, add_bos=bos, add_eos=eos))
+                    for n in held:
+                        mine = [np.array(x, np.int32) for x in islice(found, n)]
+                        lens.append(sum(map(len, mine)))
+                        parts += mine
+                    said, held, size = [], [], 0
             yield pa.ListArray.from_arrays(pa.array([0, *accumulate(lens)], pa.int32()), pa.array(np.concatenate(parts)))
 
     return docs.select("ord", ids("text").alias("ids"))
@@ -103,6 +111,42 @@ def blocks(docs: DataFrame, ctx: int) -> DataFrame:
     return whole.join(F.broadcast(total)).filter("block < blocks").select("block", F.slice("ids", 1, ctx).alias("ids"), F.slice("ids", 2, ctx).alias("y"))  # one row
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` (ord, text) in order of ord, from one partition to the next: texts move, which are smaller than their ids."""
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    return docs.repartitionByRange(n, "ord").sortWithinPartitions("ord")
+
+
+def stream(ranges: DataFrame, lengths: DataFrame, ctx: int) -> DataFrame:
+    """Files of ids as one stream in order of their names, all of it, in rows of ``ctx`` ids, the last with what is left: (block, start, ids).
+
+    ``ranges`` (file, start, ids) are the files' ids and ``lengths`` (file, n) has a row per file. Rows are made where a range is read, without a copy; only parts of those over two ranges or more move.
+    """
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    at = lengths.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    placed = ranges.join(F.broadcast(at), "file").select((F.col("o") + F.col("start")).alias("at"), "ids")
+
+    def cut(batches):
+        for b in batches:
+            ids = b.column("ids")
+            flat, ends = ids.values, ids.offsets.to_numpy()
+            starts, offsets = [], [int(ends[0])]
+            for at, lo, hi in zip(b.column("at").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                while lo < hi:
+                    n = min(ctx - at % ctx, hi - lo)
+                    starts.append(at)
+                    at, lo = at + n, lo + n
+                    offsets.append(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["at", "ids"])
+
+    small_batches(ranges.sparkSession)
+    parts = placed.mapInArrow(cut, "at long, ids array<int>").withColumn("block", F.floor(F.col("at") / ctx))
+    whole = F.size("ids") == ctx
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids")
+    made = parts.filter(~whole).groupBy("block").agg(joined)
+    return parts.filter(whole).select("block", "ids").unionByName(made).select("block", (F.col("block") * ctx).alias("start"), "ids")
+
+
 def random_windows(cut: DataFrame, ctx: int, n: int, seed: int) -> DataFrame:
     """n windows of ctx tokens at seeded uniform starts, with replacement: (i, start, digest)."""
     spark = cut.sparkSession

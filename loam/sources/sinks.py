@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 def jsonl(df: DataFrame, path: str, keep: bool = False) -> None:
@@ -18,13 +18,12 @@ def jsonl(df: DataFrame, path: str, keep: bool = False) -> None:
     df.write.mode("ignore" if keep else "overwrite").json(path)
 
 
-class _TokenWriter(DataSourceWriter):
+class _TokenWriter(DataSourceArrowWriter):
     def __init__(self, path: str, replaces: bool):
         # names of a later write sort after those of an earlier one
         self.path, self.replaces, self.write_id = path, replaces, f"{time.time_ns():020d}"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import numpy as np
+    def write(self, batches: Iterator) -> WriterCommitMessage:
         from pyarrow import fs
         from pyspark import TaskContext
 
@@ -33,8 +32,10 @@ class _TokenWriter(DataSourceWriter):
         c = TaskContext.get()
         name = f"{top}/.{self.write_id}-{c.partitionId():06d}-{c.taskAttemptId()}"
         with store.open_output_stream(name) as out:
-            for r in rows:
-                out.write(np.asarray(r[0], "<i4").tobytes())
+            for b in batches:
+                if b.column(0).null_count:
+                    raise ValueError("a row has no ids")
+                out.write(b.column(0).flatten().to_numpy().astype("<i4", copy=False).tobytes())
         return _Part(name, c.partitionId())
 
     def commit(self, messages: list) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loam import config as C
 from loam.functions import text as T
 from loam.operators import classify, cleaning, dedup, instructions, numeric, quality, reports, tokens
+from loam.plans import corpus
 from loam.sources import articles, sinks
 
 
@@ -225,3 +226,20 @@ def test_encoding_in_parts(spark, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokens._piece_model())
     assert got == {i: sp.encode(t or "", add_bos=True, add_eos=True) for i, t in enumerate(texts)}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_corpus_is_encoded_whole(spark, tmp_path):
+    """Texts are split at the mark, stripped, and blank parts dropped; every id of the stream is in a row, those after the last full one too."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(["gait", "wörter", "arm", "the"]) for _ in range(n))
+    docs = [(o, r.choice([None, "", "  \n", say(3), f" {say(40)}\n<eos>\n {say(2)} ", f"<eos>{say(900)}<eos> <eos>"])) for o in r.sample(range(10**6), 60)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens._piece_model())
+    parts = [x for _, t in sorted(docs) for x in (t or "").split("<eos>")]
+    flat = [i for x in parts if x.strip() for i in sp.encode(x.strip(), add_bos=True, add_eos=True)]
+    d = spark.createDataFrame(docs, "ord long, text string").repartition(3)
+    got = {x["block"]: (x["start"], x["ids"]) for x in corpus.encoded_corpus(d, f"file://{tmp_path}/ids").collect()}
+    assert len(flat) % 512 and got == {k: (512 * k, flat[512 * k : 512 * k + 512]) for k in range(-(-len(flat) // 512))}
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "ids").glob("*.bin"))) == b"".join(i.to_bytes(4, "little") for i in flat)
+    assert corpus.encoded_corpus(d.limit(0), f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="no ids"):
+        sinks.token_files(spark.createDataFrame([(None,)], "ids array<int>"), f"file://{tmp_path}/null")
