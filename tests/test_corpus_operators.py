@@ -327,3 +327,21 @@ def test_counts_look_for_no_links(spark, monkeypatch, query):
         want = {tuple(x) for x in run(spark, SF).collect()}
     monkeypatch.setattr(dedup, "near", None)
     assert {tuple(x) for x in run(spark, SF).collect()} == want
+
+
+def test_sets_move_to_groups_once(spark, monkeypatch):
+    """Pairs verified by groups are those verified one by one, also where a bucket is in several groups, and a set moves once to a group whatever its pairs."""
+    monkeypatch.setattr(dedup, "GROUP", 20)
+    monkeypatch.setattr(dedup, "TOGETHER", 30)
+    r = random.Random(5)
+    base = [r.randrange(1 << 60) for _ in range(40)]
+    rows = [(o, r.sample(base, r.randint(30, 40)) + [r.randrange(1 << 60) for _ in range(r.randint(0, 9))]) for o in range(200)] + [(500, []), (501, [])]
+    sh = spark.createDataFrame(rows, "ord long, shingles array<long>")
+    buckets = spark.createDataFrame([(b, 7, o) for o, _ in rows for b in range(2) if b == 0 or o % 3 == 0], "band int, key long, ord long")
+    home = dedup.homes(buckets)
+    assert home.count() == len(rows) and home.select("g").distinct().count() > 1
+    cand = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "l long, r long")
+    for t in (0.5, 0.82):
+        got = {tuple(x) for x in dedup.verified(sh, cand, home, t).collect()}
+        assert got == {tuple(x) for x in dedup.pairs(sh, cand, t).collect()} and len(got) > 50
+    assert dedup.verified(sh, cand.limit(0), home, 0.5).count() == 0
