@@ -345,3 +345,25 @@ def test_sets_move_to_groups_once(spark, monkeypatch):
         got = {tuple(x) for x in dedup.verified(sh, cand, home, t).collect()}
         assert got == {tuple(x) for x in dedup.pairs(sh, cand, t).collect()} and len(got) > 50
     assert dedup.verified(sh, cand.limit(0), home, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.01, 1e-30])
+def test_words_are_cut_together(spark, least):
+    """All words of a batch at once, laid once by more pieces than are left, give what each word gives: expected counts and best cuts, also of words that no product can hold and very long ones."""
+    r = random.Random(8)
+    first = {x: math.log(r.choice([least, 0.01, 0.1])) for x in sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(120)} | {"a", "b", "c", bpe.MARK})}
+    scores = {k: v for k, v in first.items() if len(k) == 1 or r.random() < 0.7}
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(1, 25))) for _ in range(300)] + ["ab" * 90, "abc" * 100]
+    words = bpe.word_pieces(spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string"))
+    of = [("".join(x["p"]), x["c"]) for x in words.collect()]
+    table = unigram.laid(words, list(first), 5)
+    assert {x["n"] for x in table.filter("w IS NOT NULL").collect()} == {301}
+    for best, one in ((False, unigram.expected), (True, unigram.best_cut)):
+        total, got = unigram._summed(table, scores, 5, best, list(first))
+        want, sums = Counter(), 0.0
+        for w, c in of:
+            found, more = one(w, scores, 5)
+            sums += c * found
+            for x, v in more.items() if isinstance(more, dict) else Counter(more).items():
+                want[x] += c * v
+        assert total == pytest.approx(sums) and set(got) <= set(scores) and all(got.get(x, 0) == pytest.approx(want[x], abs=1e-9) for x in scores)
